@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import math
 import time
 from collections import Counter
@@ -80,6 +81,8 @@ def main() -> int:
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     spark = local_session("8")
+    logging.disable(logging.CRITICAL)
+    spark.sparkContext.setLogLevel("OFF")
     con = duck(args.sf_dir)
     queries, _ = all_queries()
     bad = 0

@@ -145,9 +145,9 @@ def vote_consensus(long: DataFrame, expected: DataFrame | int, judges: list[str]
         (unanimous & (top_rating == "misses")).alias("unanimous_misses"),
         (~majority).alias("no_majority"),
     ]
+    by_judge = F.map_from_entries("__p")
     for judge in judges or []:
-        mine = F.filter("__p", lambda p, judge=judge: p["judgeId"] == judge)
-        columns.append(F.try_element_at(mine, F.lit(1))["rating"].alias(f"{judge}_rating"))
+        columns.append(F.try_element_at(by_judge, F.lit(judge)).alias(f"{judge}_rating"))
     return counted.select("trialId", "criterion", *columns)
 
 
