@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("base", "facts")
+AREAS = ("base", "facts", "study")
 
 
 def all_queries():

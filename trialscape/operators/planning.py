@@ -80,21 +80,22 @@ def canonical_id(experiment: str = "experimentId") -> Column:
 def short_ids(df: DataFrame, identity: str, name: str = "trialId", least: int = 10, most: int = 64) -> DataFrame:
     """PLN-8: hash prefixes of the shortest common length, at least ``least``, that keeps all rows apart.
 
-    Two neighbours in hash order share the longest prefix, so one sort of the hashes finds the
-    length: the window runs inside buckets of equal leading characters. Prefixes shorter than the
-    bucket key never collide across buckets at length ``least``. Equal identities need all 64."""
+    Prefixes of that length can only meet inside a bucket of equal leading characters, and there two
+    neighbours in hash order share the most. Hashes are made distinct first, so a bucket stays tiny;
+    identities that occur twice can never be told apart and take the full hash."""
     from pyspark.sql import Window as W
 
     hashed = df.withColumn("__h", F.sha2(F.col(identity), 256))
-    lead = F.substring("__h", 1, least)
-    bucket = W.partitionBy("__lead").orderBy("__h")
-    pairs = hashed.select("__h", lead.alias("__lead")).withColumn("__next", F.lead("__h").over(bucket))
-    positions = F.sequence(F.lit(least), F.lit(most))
-    shared = F.array_max(F.filter(positions, lambda n: F.substr("__h", F.lit(1), n) == F.substr("__next", F.lit(1), n)))
-    longest = pairs.where("__next IS NOT NULL").agg(
-        F.least(F.lit(most), F.coalesce(F.max(shared), F.lit(least - 1)) + 1).cast("int")
+    unique = hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n"))
+    bucket = W.partitionBy(F.substring("__h", 1, least)).orderBy("__h")
+    pairs = unique.withColumn("__next", F.lead("__h").over(bucket))
+    lengths = F.sequence(F.lit(least), F.lit(most))
+    shared = F.array_max(F.filter(lengths, lambda n: F.substr("__h", F.lit(1), n) == F.substr("__next", F.lit(1), n)))
+    length = pairs.agg(
+        F.when(F.max("__n") > 1, F.lit(most))
+        .otherwise(F.least(F.lit(most), F.coalesce(F.max(shared), F.lit(least - 1)) + 1)).cast("int")
     ).scalar()
-    return hashed.withColumn("__len", longest).withColumn(name, F.substr("__h", F.lit(1), F.col("__len"))).drop("__h", "__len")
+    return hashed.withColumn("__len", length).withColumn(name, F.substr("__h", F.lit(1), F.col("__len"))).drop("__h", "__len")
 
 
 def resolve_surface(configurations: DataFrame, surfaces: DataFrame) -> DataFrame:
