@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
-YEAR = r"\b(?:19|20)\d{2}\b"
+YEAR = r"(?U)\b(?:19|20)\d{2}\b"
 
 
 def col(c: Column | str) -> Column:
@@ -61,7 +61,7 @@ def word_count(c: Column | str) -> Column:
 def years(c: Column | str) -> Column:
     """Every 19xx / 20xx number of a text, as an array of integers."""
     found = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(YEAR), F.lit(0))
-    return F.transform(found, lambda y: y.cast("int"))
+    return F.transform(found, lambda y: y.try_cast("int"))
 
 
 def first_year(c: Column | str) -> Column:

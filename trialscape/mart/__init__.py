@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("base", "facts", "study")
+AREAS = ("base", "facts", "study", "ops")
 
 
 def all_queries():

@@ -259,19 +259,21 @@ FROM {source} GROUP BY {gb}"""
 QUERY_MEDIANS = ["query_tokens_median", "query_tokens_p95", "query_duration_ms_median"]
 
 
-def by_model(spark, sf):
-    return rounded(study.query_effectiveness(runs(spark, sf), ["modelId", "configurationId"]), *QUERY_MEDIANS)
+def by_model(spark, sf, percentiles=False):
+    return study.query_effectiveness(runs(spark, sf), ["modelId", "configurationId"], percentiles=percentiles)
 
 
-def by_category(spark, sf):
-    table = study.query_effectiveness(runs_ops.explode_tags(runs(spark, sf)), ["category", "configurationId"])
-    return rounded(table, *QUERY_MEDIANS)
+def by_category(spark, sf, percentiles=False):
+    tagged = runs_ops.explode_tags(runs(spark, sf))
+    return study.query_effectiveness(tagged, ["category", "configurationId"], percentiles=percentiles)
 
 
 cte("x_qmodel", query_sql("x_runs", ["modelId", "configurationId"]))
 cte("x_qcat", query_sql("x_tagged", ["category", "configurationId"]))
-register("query_effectiveness", "SELECT * FROM x_qmodel")(by_model)
-register("query_effectiveness_category", "SELECT * FROM x_qcat")(by_category)
+register("query_effectiveness", "SELECT * FROM x_qmodel")(
+    lambda spark, sf: rounded(by_model(spark, sf, True), *QUERY_MEDIANS))
+register("query_effectiveness_category", "SELECT * FROM x_qcat")(
+    lambda spark, sf: rounded(by_category(spark, sf, True), *QUERY_MEDIANS))
 
 
 @register("outcome_distribution", "SELECT configurationId, " + ", ".join(
@@ -327,7 +329,8 @@ CONFIGS = ["cfg-F", "cfg-O", "cfg-P"]
 ) + """ FROM (SELECT category, configurationId, CAST(count(*) FILTER (has_eval AND strict) AS DOUBLE) / nullif(count(*) FILTER (has_eval), 0) * 100.0 AS p
   FROM x_tagged GROUP BY category, configurationId) GROUP BY category""")
 def category_pivot(spark, sf):
-    table = study.summarize_runs(runs_ops.explode_tags(runs(spark, sf)), ["category", "configurationId"])
+    tagged = runs_ops.explode_tags(runs(spark, sf))
+    table = study.summarize_runs(tagged, ["category", "configurationId"], percentiles=False)
     return study.category_pivot(table, "majority_success", CONFIGS)
 
 
@@ -451,7 +454,7 @@ SELECT taskId, evaluated, wasted_tokens_no_full_meet_pct FROM (SELECT taskId, co
   CAST(coalesce(sum(wasted) FILTER (has_eval), 0) AS DOUBLE) / nullif(coalesce(sum(cost) FILTER (has_eval), 0), 0) * 100.0 AS wasted_tokens_no_full_meet_pct
   FROM x_runs GROUP BY taskId) ORDER BY wasted_tokens_no_full_meet_pct DESC, taskId LIMIT 3""")
 def worst_tasks(spark, sf):
-    table = study.summarize_runs(runs(spark, sf), ["taskId"])
+    table = study.summarize_runs(runs(spark, sf), ["taskId"], percentiles=False)
     return ranking.ranked(table, [F.desc("wasted_tokens_no_full_meet_pct"), "taskId"], 3).select(
         "taskId", "evaluated", "wasted_tokens_no_full_meet_pct"
     )

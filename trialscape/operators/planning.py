@@ -133,7 +133,7 @@ def expand_trials(instances: DataFrame, tasks: DataFrame, models: DataFrame, con
     )
     m = models.select(model.alias("m")).select("m.*")
     left = instances.withColumn("__salt", F.pmod(F.xxhash64("instanceId"), F.lit(salts)))
-    right = tasks.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    right = tasks.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     cells = left.join(right, ["datasetId", "__salt"], "inner").drop("__salt")
     grown = cells.withColumn("__m", F.explode(listed(m))).withColumn("__c", F.explode(listed(configurations)))
     return grown.select(*cells.columns, "__m.*", "__c.*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeatIndex"))

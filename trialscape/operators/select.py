@@ -127,22 +127,24 @@ def semi(df: DataFrame, ids: DataFrame, key: str = "trialId") -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
-def trial_detail(responses: DataFrame, evals: DataFrame, votes: DataFrame, trial_id: str, seq: str = "seq") -> DataFrame:
-    """FLT-8: everything about one trial as JSON rows: the first response, the latest evaluation
-    and every vote in order. The id filter reaches all three scans."""
-    def part(df: DataFrame, name: str, rank: int) -> DataFrame:
-        body = [c for c in df.columns if c != seq]
-        return df.where(F.col("trialId") == trial_id).select(
-            F.lit(rank).alias("part"), F.lit(name).alias("kind"), F.col(seq).alias("__s"),
-            F.to_json(F.struct(*body)).alias("body"),
+def trial_detail(responses: DataFrame, evals: DataFrame, votes: DataFrame, trial_id: str | None = None,
+                 seq: str = "seq") -> DataFrame:
+    """FLT-8: everything about a trial (or about every trial) as JSON rows: the first response, the
+    latest evaluation and each vote in order. An id filter reaches all three scans."""
+    order_type = votes.schema[seq].dataType
+
+    def part(df: DataFrame) -> DataFrame:
+        rows = df if trial_id is None else df.where(F.col("trialId") == trial_id)
+        return rows.select("trialId", F.col(seq).alias("__s"), F.to_json(F.struct(*[c for c in df.columns if c != seq])).alias("body"))
+
+    def one(df: DataFrame, rank: int, kind: str, pick) -> DataFrame:
+        return part(df).groupBy("trialId").agg(pick("body", "__s").alias("body")).select(
+            "trialId", F.lit(rank).alias("part"), F.lit(kind).alias("kind"), F.lit(None).cast(order_type).alias("__s"), "body"
         )
 
-    one_response = part(responses, "response", 0).groupBy("part", "kind").agg(
-        F.min("__s").alias("__s"), F.min_by("body", "__s").alias("body"))
-    one_eval = part(evals, "evaluation", 1).groupBy("part", "kind").agg(
-        F.max("__s").alias("__s"), F.max_by("body", "__s").alias("body"))
-    rows = one_response.unionByName(one_eval).unionByName(part(votes, "vote", 2))
-    return rows.orderBy("part", "__s").select("kind", "body")
+    each = part(votes).select("trialId", F.lit(2).alias("part"), F.lit("vote").alias("kind"), "__s", "body")
+    rows = one(responses, 0, "response", F.min_by).unionByName(one(evals, 1, "evaluation", F.max_by)).unionByName(each)
+    return rows.orderBy("trialId", "part", "__s").select("trialId", "kind", "body")
 
 
 def successful(df: DataFrame) -> Column:
@@ -205,12 +207,13 @@ def behavior_examples(df: DataFrame, flag: str, configuration: str | None = None
     return rows if limit is None else rows.orderBy("trialId").limit(limit)
 
 
-def list_votes(votes_long: DataFrame, trial_id: str) -> DataFrame:
-    """FLT-14."""
+def list_votes(votes_long: DataFrame, trial_id: str | None = None) -> DataFrame:
+    """FLT-14: votes of one trial, or of all."""
+    rows = votes_long if trial_id is None else votes_long.where(F.col("trialId") == trial_id)
     return (
-        votes_long.where(F.col("trialId") == trial_id)
+        rows
         .select("trialId", "criterion", "judgeId", "rating", "justification", "totalTokens_vote", "durationMs_vote")
-        .orderBy("criterion", "judgeId")
+        .orderBy("trialId", "criterion", "judgeId")
     )
 
 

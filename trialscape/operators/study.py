@@ -53,9 +53,9 @@ def explode_groupings(df: DataFrame, groupings: dict[str, list[str]], payload: l
     return rows, ["grouping", *columns]
 
 
-def summarize_runs(runs: DataFrame, gb: list[str], accuracy: int | None = None) -> DataFrame:
+def summarize_runs(runs: DataFrame, gb: list[str], accuracy: int | None = None, percentiles: bool = True) -> DataFrame:
     """AGG-16: cost, duration, quality and waste per group. All but ``runs``, ``evaluated`` and
-    ``answer_errors`` look at evaluated runs only."""
+    ``answer_errors`` look at evaluated runs only. Reports that show no percentile leave them out."""
     ev = F.col("has_eval")
     e = lambda c: F.when(ev, F.col(c))
     n = F.count_if(ev)
@@ -111,6 +111,8 @@ def summarize_runs(runs: DataFrame, gb: list[str], accuracy: int | None = None)
         "answer_duration_ms_median": ("answer_duration_ms", 50),
         "answer_duration_ms_p95": ("answer_duration_ms", 95),
     }
+    if not percentiles:
+        return table
     return with_quantiles(table, runs.where(ev), gb, wanted, 1, accuracy)
 
 
@@ -199,7 +201,7 @@ def agreement_summary(checked: DataFrame) -> DataFrame:
     )
 
 
-def query_effectiveness(runs: DataFrame, gb: list[str], accuracy: int | None = None) -> DataFrame:
+def query_effectiveness(runs: DataFrame, gb: list[str], accuracy: int | None = None, percentiles: bool = True) -> DataFrame:
     """AGG-26: quality against response tokens only; a sum without any value is null."""
     ev = F.col("has_eval")
     tokens = F.when(ev, F.col("totalTokens_answer"))
@@ -228,6 +230,8 @@ def query_effectiveness(runs: DataFrame, gb: list[str], accuracy: int | None = N
         "query_tokens_p95": ("totalTokens_answer", 95),
         "query_duration_ms_median": ("totalDurationMs_answer", 50),
     }
+    if not percentiles:
+        return table
     return with_quantiles(table, runs.where(ev), gb, wanted, 1, accuracy)
 
 
