@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from trialscape.functions.scalar import col
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
@@ -25,7 +25,7 @@ def unescape(c: Column | str) -> Column:
 
 def strip_markup(c: Column | str) -> Column:
     """Line breaks for ``<br>``, tags removed, white space squeezed, edges trimmed; empty is null."""
-    text = F.replace(col(c), F.lit(" "), F.lit(" "))
+    text = F.replace(col(c), F.lit("\u00a0"), F.lit(" "))
     for pattern, value in (
         (r"<br[^>]*>", "\n"),
         (r"<[^>]+>", ""),
@@ -80,7 +80,7 @@ def trim_tree(c: Column, data_type: T.DataType) -> Column:
 
 def lines_of(c: Column | str) -> Column:
     """Lines of a text; every line break counts and a last empty line does not."""
-    text = F.regexp_replace(col(c), "\r\n|[\r\u000b\u000c\u001c-\u001e\u0085  ]", "\n")
+    text = F.regexp_replace(col(c), r"\r\n|[\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]", "\n")
     return F.split(F.regexp_replace(text, "\n$", ""), "\n")
 
 

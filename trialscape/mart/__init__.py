@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("base", "facts", "study", "ops")
+AREAS = ("base", "facts", "study", "ops", "text")
 
 
 def all_queries():

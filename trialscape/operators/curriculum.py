@@ -78,7 +78,7 @@ def publications(df: DataFrame, body: str = "body", keep: list[str] | None = Non
     i = F.col("item")
     rows = _objects(df, _items(F.col(body), "$.production.bibliographical"), columns).withColumn("text", _text(i, "$.text"))
     text = F.col("text")
-    parts = F.filter(F.transform(F.split(text, r"\."), F.trim), lambda p: F.length(p) > 0)
+    parts = F.filter(F.transform(F.split(text, r"\."), lambda x: F.trim(x)), lambda p: F.length(p) > 0)
     told_title = F.when(F.size(parts) > 1, F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0)))
     tokens = F.split(F.replace(text, F.lit("."), F.lit(" ")), r"\s+")
     plausible = F.filter(
@@ -87,7 +87,7 @@ def publications(df: DataFrame, body: str = "body", keep: list[str] | None = Non
     )
     told_people = F.when(
         F.contains(text, F.lit(".")),
-        F.filter(F.transform(F.split(F.substring_index(text, ".", 1), ";"), F.trim), lambda p: F.length(p) > 0),
+        F.filter(F.transform(F.split(F.substring_index(text, ".", 1), ";"), lambda x: F.trim(x)), lambda p: F.length(p) > 0),
     )
     given_year, given_people = _whole(i, "$.year"), _texts(i, "$.authors")
     rows = rows.withColumn("title", F.coalesce(_text(i, "$.title"), told_title))

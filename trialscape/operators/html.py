@@ -37,7 +37,7 @@ def _found(c: Column, pattern: str) -> Column:
 
 
 def _found_all(c: Column, pattern: str) -> Column:
-    items = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.trim)
+    items = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), lambda x: F.trim(x))
     return F.filter(items, lambda x: F.length(x) > 0)
 
 
@@ -49,7 +49,7 @@ def _records(df: DataFrame, section: Column, pattern: str, names: list[str], kee
 
 
 def _lines(c: str) -> Column:
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), F.trim)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.trim(x))
     return F.filter(parts, lambda x: F.length(x) > 0)
 
 
@@ -124,7 +124,7 @@ def publications(df: DataFrame, html: str = "html", keep: list[str] | None = Non
         F.when(stop > 0, F.nullif(F.trim(F.substr(rest, F.lit(1), stop - 1)), F.lit(""))).alias("title"),
         last_year(F.coalesce("__year", "text")).alias("year"),
         F.when(stop > 0, venue).alias("venue"),
-        F.filter(F.transform(F.split(people, ";"), F.trim), lambda x: F.length(x) > 0).alias("authors"),
+        F.filter(F.transform(F.split(people, ";"), lambda x: F.trim(x)), lambda x: F.length(x) > 0).alias("authors"),
         "doi",
         F.array("text").alias("details"),
     )
@@ -148,5 +148,5 @@ def profile(df: DataFrame, html: str = "html", keep: list[str] | None = None) ->
         *columns,
         html_to_text(F.nullif(F.regexp_extract(html, r'<h2 class="nome">([^<]+)</h2>', 1), F.lit(""))).alias("name"),
         html_to_text(labelled("Identificacao", "País de Nacionalidade")).alias("nationality"),
-        F.filter(F.transform(F.split(names, ";"), F.trim), lambda x: F.length(x) > 0).alias("citation_names"),
+        F.filter(F.transform(F.split(names, ";"), lambda x: F.trim(x)), lambda x: F.length(x) > 0).alias("citation_names"),
     )
