@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,12 +12,22 @@ from pyspark.sql import types as T
 from trialscape.functions.scalar import col, file_slug, first_usable
 
 
+@F.pandas_udf(T.StringType())
+def _exact(numbers: pd.Series) -> pd.Series:
+    return numbers.map(lambda x: f"{x:.6g}", na_action="ignore")
+
+
 def number_text(c: Column) -> Column:
-    """Whole numbers without a fraction, others with six significant digits and no padding zeros."""
+    """Whole numbers without a fraction, others with six significant digits and no padding zeros.
+
+    The JVM rounds the printed decimal, the contract rounds the binary value. They differ only where
+    the seventh digit is a lone 5, and only those numbers are formatted in Python."""
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(c.cast("string"), "E.*$", ""), "[-.]", ""), "^0+", "")
+    tie = F.rlike(digits, F.lit("^[0-9]{6}5$"))
     short = F.format_string("%.6g", c)
     fixed = F.regexp_replace(F.regexp_replace(short, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     science = F.regexp_replace(F.regexp_replace(short, r"(\.\d*?)0+e", "$1e"), r"\.e", "e")
-    fraction = F.when(F.contains(short, F.lit("e")), science).otherwise(fixed)
+    fraction = F.coalesce(_exact(F.when(tie, c)), F.when(F.contains(short, F.lit("e")), science).otherwise(fixed))
     return F.when(c == F.floor(c), c.try_cast("decimal(38,0)").cast("string")).otherwise(fraction)
 
 
