@@ -14,8 +14,8 @@ from trialscape.mart import all_queries  # noqa: E402
 from trialscape.session import local_session  # noqa: E402
 
 HEADLINE = [
-    "latest_response", "latest_vote", "plurality_outcome", "vote_consensus", "trial_facts", "effectiveness", "efficiency",
-    "robustness_all_axes", "runs", "summary_by_configuration", "pending_votes", "export_rows", "tool_activation",
+    "latest_response", "latest_vote", "vote_consensus", "trial_facts", "effectiveness",
+    "robustness_all_axes", "summary_by_configuration", "pending_votes", "export_rows", "tool_activation",
     "behavior_by_lang", "html_text", "short_ids", "pareto_orders", "pack_context",
 ]
 
@@ -30,6 +30,7 @@ def main() -> None:
         started = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - started, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": times, "sf": Path(sf_dir).name}))
     spark.stop()

@@ -76,8 +76,7 @@ def vote_spread(votes: DataFrame) -> DataFrame:
 
 def trace_flags(traces: DataFrame, nested: bool = True) -> DataFrame:
     """COL-13..16, the part that reads trace documents. One row per trace that is an object."""
-    body = F.col("body")
-    t = payload(body, nested)
+    body, t = F.col("body"), F.col("__t")
     calls = ("mcp.tool_call", "mcp.tool_result")
     events = F.coalesce(variant_array(t, "$.aiTrace.events"), F.array().cast("array<variant>"))
     called = F.exists(
@@ -88,7 +87,8 @@ def trace_flags(traces: DataFrame, nested: bool = True) -> DataFrame:
     some = lambda path: F.coalesce(F.size(variant_array(t, path)) > 0, F.lit(False))
     native = F.try_variant_get(t, "$.nativeMcp", "variant")
     error = F.to_json(F.try_variant_get(t, "$.error", "variant"))
-    return traces.where(F.startswith(F.schema_of_variant(body), F.lit("OBJECT"))).select(
+    objects = traces.where(F.startswith(F.schema_of_variant(body), F.lit("OBJECT")))
+    return objects.select("trialId", payload(body, nested).alias("__t")).select(
         "trialId",
         F.lit(True).alias("__trace"),
         (some("$.toolCalls") | called).alias("__tool"),

@@ -63,7 +63,8 @@ def tool_events(traces: DataFrame, keep: list[str] | None = None) -> DataFrame:
     columns = keep or ["trialId"]
     return (
         traces.where(F.col("body").isNotNull())
-        .select(*columns, F.array_distinct(calls_of(payload(F.col("body")))).alias("__c"))
+        .select(*columns, payload(F.col("body")).alias("__t"))
+        .select(*columns, F.array_distinct(calls_of(F.col("__t"))).alias("__c"))
         .select(*columns, F.posexplode("__c").alias("call_index", "__c"))
         .select(*columns, (F.col("call_index") + 1).cast("long").alias("call_index"), "__c.*")
     )

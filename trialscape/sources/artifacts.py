@@ -6,7 +6,7 @@ import warnings
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialscape import schemas
@@ -55,6 +55,11 @@ def _raw(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
     )
 
 
+def _broken() -> Column:
+    """A line that is no JSON object has no field at all; naming one keeps a plain count legal."""
+    return F.col(CORRUPT).isNotNull() & F.col("trialId").isNull() & ~is_json_object(CORRUPT)
+
+
 def read_artifact(
     spark: SparkSession, dirs: str | list[str], kind: str, strict: bool = True, optional: bool = False
 ) -> DataFrame:
@@ -74,7 +79,7 @@ def read_artifact(
                 "seq STRUCT<file: STRING, block: BIGINT, line: BIGINT>"
             return spark.createDataFrame([], empty)
     rows = _raw(spark, paths, kind)
-    broken = F.col(CORRUPT).isNotNull() & ~is_json_object(CORRUPT)
+    broken = _broken()
     if strict:
         message = F.concat(F.lit("not a JSON object in "), F.col("seq.file"), F.lit(": "), F.col(CORRUPT))
         rows = rows.where(F.when(broken, F.raise_error(message).cast("boolean")).otherwise(True))
@@ -87,7 +92,7 @@ def corrupt_lines(spark: SparkSession, dirs: str | list[str], kind: str) -> Data
     """SRC-2: the lines that are no JSON objects, with their file."""
     names = [dirs] if isinstance(dirs, str) else list(dirs)
     rows = _raw(spark, [f"{d.rstrip('/')}/{kind}.jsonl" for d in names], kind)
-    return rows.where(F.col(CORRUPT).isNotNull() & ~is_json_object(CORRUPT)).select(
+    return rows.where(_broken()).select(
         F.col("seq.file").alias("file"), F.col(CORRUPT).alias("line")
     )
 
