@@ -14,7 +14,7 @@ from trialscape.functions.scalar import col
 
 @F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+    return pd.Series([None if x is None else html.unescape(x) for x in texts], dtype=object)
 
 
 def unescape(c: Column | str) -> Column:

@@ -14,21 +14,25 @@ from trialscape.functions.scalar import col, file_slug, first_usable
 
 @F.pandas_udf(T.StringType())
 def _exact(numbers: pd.Series) -> pd.Series:
-    return numbers.map(lambda x: f"{x:.6g}", na_action="ignore")
+    return pd.Series(
+        [None if pd.isna(x) else str(int(x)) if x.is_integer() else f"{x:.6g}" for x in numbers], dtype=object
+    )
 
 
 def number_text(c: Column) -> Column:
     """Whole numbers without a fraction, others with six significant digits and no padding zeros.
 
     The JVM rounds the printed decimal, the contract rounds the binary value. They differ only where
-    the seventh digit is a lone 5, and only those numbers are formatted in Python."""
+    the seventh digit is a lone 5, and only those numbers, and those beyond 2^53, go to Python."""
     digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(c.cast("string"), "E.*$", ""), "[-.]", ""), "^0+", "")
     tie = F.rlike(digits, F.lit("^[0-9]{6}5$"))
     short = F.format_string("%.6g", c)
     fixed = F.regexp_replace(F.regexp_replace(short, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     science = F.regexp_replace(F.regexp_replace(short, r"(\.\d*?)0+e", "$1e"), r"\.e", "e")
-    fraction = F.coalesce(_exact(F.when(tie, c)), F.when(F.contains(short, F.lit("e")), science).otherwise(fixed))
-    return F.when(c == F.floor(c), c.try_cast("decimal(38,0)").cast("string")).otherwise(fraction)
+    huge = F.abs(c) >= float(2**53)
+    fraction = F.when(F.contains(short, F.lit("e")), science).otherwise(fixed)
+    plain = F.when(~huge & (c == F.floor(c)), c.try_cast("bigint").cast("string")).otherwise(fraction)
+    return F.coalesce(_exact(F.when(huge | (tie & (c != F.floor(c))), c)), plain)
 
 
 def csv_value(c: Column | str, data_type: T.DataType) -> Column:
