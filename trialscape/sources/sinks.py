@@ -32,7 +32,7 @@ def number_text(c: Column) -> Column:
     huge = F.abs(c) >= float(2**53)
     fraction = F.when(F.contains(short, F.lit("e")), science).otherwise(fixed)
     plain = F.when(~huge & (c == F.floor(c)), c.try_cast("bigint").cast("string")).otherwise(fraction)
-    return F.coalesce(_exact(F.when(huge | (tie & (c != F.floor(c))), c)), plain)
+    return F.when(c.isNotNull(), F.coalesce(_exact(F.when(huge | (tie & (c != F.floor(c))), c)), plain))
 
 
 def csv_value(c: Column | str, data_type: T.DataType) -> Column:
