@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,16 +26,14 @@ def local_session(cores: str = "*", name: str = "trialscape", shuffle_partitions
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. A private one is made only where the
-    setting is absent and Spark runs in a single local process (tests)."""
+    """The folder of ``spark.checkpoint.dir``, which all executors share. Where the setting is
+    absent, as in tests, a folder below ``spark.sql.warehouse.dir`` takes its place."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         root = sc.getCheckpointDir()
     if root is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="trialscape-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/trialscape-{uuid.uuid4().hex}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root.rstrip("/")
