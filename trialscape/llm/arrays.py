@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 """Bytes handled at once; a longer word or document is taken whole."""
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)

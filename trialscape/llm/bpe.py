@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +24,14 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.size = max(self.tokens) + 1
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
+        self.automaton = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            self.automaton.add_word(token.decode("latin-1"), rank)
+        self.automaton.make_automaton()
+        self.pairs: dict[int, bool] = {}
+        self.made: dict[int, tuple[int, int] | None] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """The plain rule: join the neighbours of the lowest rank until none can be joined."""
@@ -37,14 +45,42 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose join makes this one; None for a byte, and for a token that
+        merging never makes, which no encoding holds."""
+        if token not in self.made:
+            data = self.tokens[token]
+            rank = self.ranks.pop(data)
+            parts = self.merged(data)
+            self.ranks[data] = rank
+            self.made[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return self.made[token]
+
+    def _stays_apart(self, a: int, b: int) -> bool:
+        """Undo the joins next to the border, the latest first: at no time may the two parts at
+        the border have been joined before the join that came next."""
+        tokens, ranks, before = self.tokens, self.ranks, len(self.ranks) + 1
+        while True:
+            joined = ranks.get(tokens[a] + tokens[b])
+            if joined is not None and joined < before:
+                return False
+            left, right = self.halves(a), self.halves(b)
+            if left and (a > b or not right):
+                before, a = a, left[1]
+            elif right:
+                before, b = b + 1, right[0]  # of equal ranks, the one to the left comes first
+            else:
+                return True
+
     def follows(self, a: int, b: int) -> bool:
         """May token ``b`` follow ``a``? With a = -1: may ``b`` stand first?"""
-        known = self.pairs.get((a, b))
+        key = a * self.size + b
+        known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 500_000:
                 self.pairs.clear()
-            parts = [self.tokens[b]] if a < 0 else [self.tokens[a], self.tokens[b]]
-            known = self.pairs[a, b] = self.merged(b"".join(parts)) == parts
+            whole = len(self.tokens[b]) == 1 or self.halves(b) is not None
+            known = self.pairs[key] = whole and (a < 0 or self._stays_apart(a, b))
         return known
 
 
@@ -55,19 +91,26 @@ class Prefixes:
         self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
         self.append(data)
 
-    def _last_of(self, end: int) -> int:
-        data, last, vocabulary = self.data, self.last, self.vocabulary
-        for start in range(max(0, end - vocabulary.longest), end):
-            token = vocabulary.ranks.get(data[start:end])
-            if token is not None and vocabulary.follows(last[start], token):
-                return token
-        raise ValueError("the vocabulary does not cover all bytes")
+    def _extend(self) -> None:
+        """Find the last token of every prefix that has none yet. The automaton gives the tokens
+        that end at each byte, longest first; exactly one follows what stands before it."""
+        words, last = self.vocabulary, self.last
+        pairs, size, sizes = words.pairs, words.size, words.sizes
+        first = max(0, len(last) - words.longest)
+        for stop, token in words.automaton.iter(self.data[first:].decode("latin-1")):
+            end = first + stop + 1
+            if end == len(last) and end - sizes[token] >= first:
+                before = last[end - sizes[token]]
+                fits = pairs.get(before * size + token)
+                if words.follows(before, token) if fits is None else fits:
+                    last.append(token)
+        if len(last) <= len(self.data):
+            raise ValueError("the vocabulary does not cover all bytes")
 
     def append(self, more: bytes) -> None:
         """Exact: what earlier prefixes end with does not change."""
         self.data += more
-        for end in range(len(self.last), len(self.data) + 1):
-            self.last.append(self._last_of(end))
+        self._extend()
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replace a stretch of bytes. Prefixes before it stay; behind it, they are computed until
@@ -75,12 +118,13 @@ class Prefixes:
         old, shift = self.last, len(new) - (stop - start)
         self.data = self.data[:start] + new + self.data[stop:]
         self.last, same = old[: start + 1], 0
-        while len(self.last) <= len(self.data) and same < self.vocabulary.longest:
+        whole, self.data = self.data, self.data[:start]
+        while len(self.last) <= len(whole) and same < self.vocabulary.longest:
             end = len(self.last)
-            self.last.append(self._last_of(end))
+            self.append(whole[end - 1 : end])
             same = same + 1 if end > start + len(new) and self.last[end] == old[end - shift] else 0
         done = len(self.last) - start - 1
-        self.last += old[len(self.last) - shift :]
+        self.data, self.last = whole, self.last + old[len(self.last) - shift :]
         return done
 
     def ids(self) -> list[int]:
@@ -108,7 +152,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
 
     def fn(column: pa.Array) -> list[pa.Array]:
         words = vocabulary(path)
-        encoder = Encoder(lambda piece: Prefixes(words, piece).ids())
+        encoder = Encoder(lambda pieces: [Prefixes(words, piece).ids() for piece in pieces])
         ids, counts = [], [np.zeros(1, np.int64)]
         for _, found, begins in encoder.column(column):
             ids.append(found)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import base64
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 
 from trialscape.llm.arrays import flat, runs, span_hashes
 
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 """Pieces whose ids a worker remembers before it starts afresh; results don't depend on it."""
 
 LETTER, NUMBER, BLANK = 1, 2, 3
@@ -68,9 +69,9 @@ def piece_starts(chars: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of documents; ``encode`` gives the ids of one piece's bytes."""
+    """Ids of documents; ``encode`` gives the ids of pieces, each a stretch of bytes."""
 
-    def __init__(self, encode: Callable[[bytes], list[int]]):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
         self.encode, self.known = encode, {}
 
     def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,13 +89,12 @@ class Encoder:
         example[codes[::-1]] = np.arange(len(codes))[::-1]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, ids = self.known, []
-        for name, first, length in zip(names.tolist(), starts[example].tolist(), lengths[example].tolist()):
-            found = known.get(name)
-            if found is None:
-                found = np.array(self.encode(text[first : first + length].encode()), np.uint32).tobytes()
-                known[name] = found
-            ids.append(found)
+        known, names = self.known, names.tolist()
+        firsts, sizes = starts[example].tolist(), lengths[example].tolist()
+        new = [(n, a, k) for n, a, k in zip(names, firsts, sizes) if n not in known]
+        for (n, _, _), found in zip(new, self.encode([text[a : a + k].encode() for _, a, k in new])):
+            known[n] = array("I", found).tobytes()
+        ids = [known[n] for n in names]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         pool = np.frombuffer(b"".join(ids), np.uint32)
         begins = np.cumsum(sizes) - sizes
