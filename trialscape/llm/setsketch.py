@@ -23,6 +23,9 @@ LEVELS = 2600
 MARGIN = 0.15
 """Pairs whose estimate is further below the threshold aren't verified: over five standard deviations."""
 
+ANCHORS, ANCHOR_ROUNDS = 8, 2
+"""Members of a band that all others meet, in so many rounds, before the remaining pairs are looked at."""
+
 _MULTIPLIERS = (mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SHIFTS = (mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) << np.uint64(20)) >> np.uint64(32)).astype(np.uint32)
 
@@ -163,9 +166,10 @@ def near_duplicates(
     it is kept. An empty table gives no rows; other columns are ignored. doc_id is a whole number.
 
     Equal sets are one class, represented by its least id, so copies are never paired. In each
-    band every class is first held against the band's least one; only where the members then
-    still belong to different components, the pairs between components are looked at, by the
-    sketches first. So a large group of near copies costs one comparison a member and band.
+    band every class is first held against the band's least one, then, where the members still
+    belong to different components, against a few others chosen by hash; all pairs that are then
+    left between components are looked at in the end, by the sketches first. So a large group of
+    near copies costs a few comparisons a member, and no link between components is left out.
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "near-duplicates")
@@ -215,18 +219,27 @@ def near_duplicates(
         real.join(classes.select("print_a", "print_b", "id"), ["print_a", "print_b"]).where("doc_id <> id")
         .select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     )
-    found = components(links)
-    tagged = met.join(found, met["b"] == found["id"], "left").select(
-        "band", "a", "b", F.coalesce("component", "b").alias("own")
-    )
-    tagged.write.parquet(f"{folder}/tagged")
-    tagged = spark.read.parquet(f"{folder}/tagged").where("a <> b")  # the least one has met all others
-    open_bands = tagged.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("band")
-    rest = tagged.join(open_bands, "band").select("band", "b", "own")
+    def open_rows(name: str) -> DataFrame:
+        """(band, b, own): the members, with their components, of bands that still have several."""
+        found = components(links)
+        tagged = met.join(found, met["b"] == found["id"], "left").select("band", "a", "b", F.coalesce("component", "b").alias("own"))
+        tagged.write.parquet(f"{folder}/{name}")
+        tagged = spark.read.parquet(f"{folder}/{name}")
+        several = tagged.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high")
+        return tagged.join(several.select("band"), "band")
+
+    for step in range(ANCHOR_ROUNDS):
+        rest = open_rows(f"open-{step}")
+        pick = F.min(F.struct(F.xxhash64("b", F.lit(step)).alias("h"), F.col("b").alias("a"), F.col("own").alias("own2")))
+        anchors = rest.groupBy(F.col("band").alias("band2"), F.pmod(F.xxhash64("b"), F.lit(ANCHORS))).agg(pick.alias("x"))
+        anchors = anchors.select("band2", "x.a", "x.own2")
+        pairs = rest.select("band", "b", "own").join(anchors, (F.col("band") == F.col("band2")) & (F.col("own") != F.col("own2")))
+        links = links.unionByName(verified(pairs.select("a", "b").distinct(), f"anchors-{step}"))
+    rest = open_rows("open").where("a <> b").select("band", "b", "own")  # the least one has met all others
     other = rest.select(F.col("band").alias("band2"), F.col("b").alias("a2"), F.col("own").alias("own2"))
     across = rest.join(other, (F.col("band") == F.col("band2")) & (F.col("own2") < F.col("own")))
     across = across.select(F.col("a2").alias("a"), "b").distinct()
-    more = verified(across, "second")
+    more = verified(across, "across")
     found = components(links.unionByName(more).unionByName(doubles)).select(F.col("id").alias("node"), "component")
     out = rows.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
