@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialscape.llm import blockjoin, bpe, lines, pii, projection, secrets, setsketch
+from trialscape.llm import blockjoin, bpe, langid, lattice, lines, packing, pii, projection, secrets, setsketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_hash(column: str = "doc_id"):
+    """crc32 of an id as text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+
+
 def span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """Counts of the base kinds, a digest of their spans, and all spans as text."""
     written = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
@@ -36,6 +41,25 @@ def span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     )
 
 
+@query
+def op1_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # the ranks are the same vocabulary as byte_bpe_50k.json; tests hold both against each other
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    packed = packing.pack_documents(docs, path, public_tokenizers.PATTERN, window=1024, end_id=0)
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query
+def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = id_hash() % 5 == 0
+    known = langid.identify_languages(docs.select("doc_id", "text"), docs.where(~held_out).select("text", "lang"))
+    return known.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -114,3 +138,13 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op5_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", id_hash() % 7 == 2)
+    scored = lattice.score_documents(docs, "NOT held_out", public_tokenizers.path("piece_bpe_32k.model"))
+    return scored.select(
+        "doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
