@@ -20,8 +20,9 @@ BASE = 1.02
 """Ratio between neighbouring register values."""
 LEVELS = 2600
 """Register values are cut to 0..LEVELS + 1; BASE^LEVELS is more than 2^64."""
-MARGIN = 0.15
-"""Pairs whose estimate is further below the threshold aren't verified: over five standard deviations."""
+MARGIN = 0.12
+"""Pairs whose estimate is further below the threshold aren't verified: over four and a half standard deviations."""
+TILE = 1024
 
 ANCHORS, ANCHOR_ROUNDS = 8, 2
 """Members of a band that all others meet, in so many rounds, before the remaining pairs are looked at."""
@@ -64,17 +65,27 @@ def registers(items: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, LEVELS + 1).astype(np.uint16)
 
 
-def likely_similarity(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> float:
-    """Maximum-likelihood similarity of two sets of known sizes from the numbers of registers in
-    which one sketch is above, below or level with the other."""
-    above, below = int((a > b).sum()), int((a < b).sum())
-    u = size_a / (size_a + size_b)
+def likely_similarity(a: np.ndarray, b: np.ndarray, size_a: int, size_b: np.ndarray) -> np.ndarray:
+    """Maximum-likelihood similarity of a set to others (rows of ``b``), all of known sizes, from the
+    numbers of registers in which one sketch is above, below or level with the other."""
+    above, below = (a > b).sum(axis=1)[:, None], (a < b).sum(axis=1)[:, None]
+    u = (size_a / (size_a + size_b))[:, None]
     v = 1 - u
-    grid = np.linspace(0, 1, 101) * min(u / v, v / u)
+    grid = np.linspace(0, 1, 101)[None, :] * np.minimum(u / v, v / u)
     chance = lambda x: -np.log1p(-x * (BASE - 1) / BASE) / np.log(BASE)
     p, q = np.maximum(chance(u - v * grid), 1e-12), np.maximum(chance(v - u * grid), 1e-12)
     level = np.maximum(1 - p - q, 1e-12)
-    return float(grid[np.argmax(above * np.log(p) + below * np.log(q) + (len(a) - above - below) * np.log(level))])
+    fit = above * np.log(p) + below * np.log(q) + (len(a) - above - below) * np.log(level)
+    return np.take_along_axis(grid, fit.argmax(axis=1)[:, None], 1)[:, 0]
+
+
+def keys_of(matrix: np.ndarray) -> np.ndarray:
+    """A hash of each band of each sketch."""
+    rows = matrix.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.arange(BANDS, dtype=np.uint64)[None, :] * np.ones((len(rows), 1), np.uint64)
+    for k in range(ROWS):
+        key = mix(key ^ (rows[:, :, k] + np.uint64(1 + (k << 32))))
+    return key.view(np.int64)
 
 
 def sketches(docs: DataFrame, words: int, text: str, doc_id: str) -> DataFrame:
@@ -109,12 +120,9 @@ def band_keys(classes: DataFrame) -> DataFrame:
     def work(batches):
         for batch in batches:
             data, _ = flat(batch.column(1))
-            rows = data.view(np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = np.arange(BANDS, dtype=np.uint64)[None, :] * np.ones((len(rows), 1), np.uint64)
-            for k in range(ROWS):
-                key = mix(key ^ (rows[:, :, k] + np.uint64(1 + (k << 32))))
+            key = keys_of(data.view(np.uint16))
             ids = np.repeat(batch.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], names=["band", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(ids)], names=["band", "id"])
 
     return classes.select("id", "sketch").mapInArrow(work, "band bigint, id bigint")
 
@@ -154,6 +162,52 @@ def beside_anchor(
     return dealt.mapInArrow(work, "a bigint, b bigint")
 
 
+def across_components(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that share a band of ``rows`` (band, own, id, size,
+    sketch) and may be similar enough by their sketches. A band is compared in tiles; a pair comes
+    from the first band that both share, so it comes once, and nothing else leaves a tile."""
+    sizes = rows.groupBy(F.col("band").alias("band2")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
+    rows = rows.join(sizes, F.col("band") == F.col("band2")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "own", "id", "size", "sketch"
+    )
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "band", "low", "high").sortWithinPartitions("band", "low", "high")
+
+    def tile(group: list[np.ndarray], sketch: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        band, low, high, block, own, ids, size = group
+        keys = keys_of(sketch)
+        for i in np.flatnonzero(own > own.min()):
+            at = np.flatnonzero((own < own[i]) & ((block != block[i]) | (low[0] == high[0])))
+            at = at[100 * np.minimum(size[at], size[i]) >= percent * np.maximum(size[at], size[i])]
+            first = int(np.argmax(keys[i] == band[0]))
+            at = at[~(keys[at, :first] == keys[i, :first]).any(axis=1)]
+            if len(at):
+                near = likely_similarity(sketch[i], sketch[at], size[i], size[at]) >= percent / 100 - MARGIN
+                yield ids[at[near]], ids[i]
+
+    def work(batches):
+        held = None
+        for batch in batches:
+            columns = [batch.column(i).to_numpy() for i in range(7)]
+            sketch = flat(batch.column(7))[0].view(np.uint16).reshape(-1, REGISTERS)
+            if held is not None:
+                columns, sketch = [np.concatenate(x) for x in zip(held[0], columns)], np.concatenate((held[1], sketch))
+            key = np.stack(columns[:3], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
+            for a, b in zip(cuts, cuts[1:]):
+                yield from out(tile([c[a:b] for c in columns], sketch[a:b]))
+            held = [c[cuts[-1] :] for c in columns], sketch[cuts[-1] :]
+        if held is not None:
+            yield from out(tile(*held))
+
+    def out(found):
+        for a, b in found:
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.full(len(a), b))], names=["a", "b"])
+
+    return rows.mapInArrow(work, "a bigint, b bigint")
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
@@ -168,8 +222,8 @@ def near_duplicates(
     Equal sets are one class, represented by its least id, so copies are never paired. In each
     band every class is first held against the band's least one, then, where the members still
     belong to different components, against a few others chosen by hash; all pairs that are then
-    left between components are looked at in the end, by the sketches first. So a large group of
-    near copies costs a few comparisons a member, and no link between components is left out.
+    left between components are looked at in the end, in tiles and by the sketches first. So a large
+    group of near copies costs a few comparisons a member, and no link between components is left out.
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "near-duplicates")
@@ -199,14 +253,16 @@ def near_duplicates(
     def near(x, y):
         if 100 * min(x[0], y[0]) < percent * max(x[0], y[0]):
             return False
-        return likely_similarity(x[1], y[1], x[0], y[0]) >= percent / 100 - MARGIN
+        return likely_similarity(x[1], y[1][None], x[0], np.array([y[0]]))[0] >= percent / 100 - MARGIN
 
     def linked(x, y):
         shared = len(np.intersect1d(x, y, assume_unique=True))
         return shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        likely = beside_anchor(pairs, known, "value", read_sketch, near)
+        return confirmed(beside_anchor(pairs, known, "value", read_sketch, near), name)
+
+    def confirmed(likely: DataFrame, name: str) -> DataFrame:
         likely.write.parquet(f"{folder}/{name}-likely")
         likely = spark.read.parquet(f"{folder}/{name}-likely")
         full = texts.select(F.col("doc_id").alias("id"), "text")
@@ -235,11 +291,9 @@ def near_duplicates(
         anchors = anchors.select("band2", "x.a", "x.own2")
         pairs = rest.select("band", "b", "own").join(anchors, (F.col("band") == F.col("band2")) & (F.col("own") != F.col("own2")))
         links = links.unionByName(verified(pairs.select("a", "b").distinct(), f"anchors-{step}"))
-    rest = open_rows("open").where("a <> b").select("band", "b", "own")  # the least one has met all others
-    other = rest.select(F.col("band").alias("band2"), F.col("b").alias("a2"), F.col("own").alias("own2"))
-    across = rest.join(other, (F.col("band") == F.col("band2")) & (F.col("own2") < F.col("own")))
-    across = across.select(F.col("a2").alias("a"), "b").distinct()
-    more = verified(across, "across")
+    rest = open_rows("open").where("a <> b").select("band", "own", F.col("b"))  # the least one has met all others
+    rest = rest.join(classes, F.col("b") == F.col("id")).select("band", "own", "id", "size", "sketch")
+    more = confirmed(across_components(rest, percent), "across")
     found = components(links.unionByName(more).unionByName(doubles)).select(F.col("id").alias("node"), "component")
     out = rows.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
