@@ -138,6 +138,26 @@ def test_symbol_tree_keeps_ancestors(spark):
     assert {r.qualified_name for r in symbols.list_symbols(flat, kind="method").collect()} == {"Greeter", "Greeter.greet"}
 
 
+def test_symbol_tree_of_any_depth(spark):
+    tree = "".join(f'[{{"kind":"class","name":"c{i}","children":' for i in range(11)) + "[]" + "}]" * 11
+    files = spark.createDataFrame([("w", "p.py", tree)], "workspaceId STRING, path STRING, t STRING").select("workspaceId", "path", F.parse_json("t").alias("symbols"))
+    assert sorted(r.depth for r in symbols.flatten_symbols(files).collect()) == list(range(11))
+
+
+def test_context_reaches_as_far_as_the_budget(spark):
+    files = spark.range(9000).select(F.lit("r").alias("repo"), F.col("id").cast("long").alias("pos"), F.concat(F.lit("f"), F.col("id")).alias("path"), F.lit("x").alias("source"))
+    cells = spark.createDataFrame([(f"i{b}", "r", "f4000", b, 0.5) for b in (2000, 7000)], "instance_id STRING, repo STRING, path STRING, requested_context_tokens INT, position_ratio DOUBLE")
+    one, two = corpus.pack_context(cells, files, bucket=512), corpus.pack_context(cells, files)
+    assert {r.instance_id: r["count"] for r in one.groupBy("instance_id").count().collect()} == {"i2000": 2000, "i7000": 7000}
+    assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+
+
+def test_file_order_has_no_longest_chain(spark):
+    files = spark.createDataFrame([("r", p) for p in "fedcba"], "repo STRING, path STRING")
+    needs = spark.createDataFrame([("r", a, b) for a, b in zip("abcde", "bcdef")], "repo STRING, path STRING, needs STRING")
+    assert [(r.path, r.level) for r in corpus.topo_order(files, needs).orderBy("pos").collect()] == list(zip("fedcba", range(6)))
+
+
 def test_file_order_puts_cycles_last(spark):
     files = spark.createDataFrame([("r", p) for p in "abcd"], "repo STRING, path STRING")
     needs = spark.createDataFrame([("r", "a", "b"), ("r", "c", "d"), ("r", "d", "c"), ("r", "b", "missing")], "repo STRING, path STRING, needs STRING")

@@ -529,7 +529,7 @@ def placed_files(spark, sf):
 def packed(spark, sf):
     cells = corpus.expand_instances(ordered_needles(spark, sf), [2048]).withColumn("position_ratio", F.lit(0.55))
     files = placed_files(spark, sf)
-    return corpus.pack_context(cells.select("instance_id", "repo", "path", "requested_context_tokens", "position_ratio"), files, max_budget=2048), files
+    return corpus.pack_context(cells.select("instance_id", "repo", "path", "requested_context_tokens", "position_ratio"), files), files
 
 
 @register("pack_context", "SELECT instance_id, pos, doc_id, tokens FROM x_packed")
@@ -602,25 +602,6 @@ def needle_repositories(spark, sf):
     return repo_info(corpus_needles(spark, sf).select("doc_id", "language", "repo"), repos).select("doc_id", "repo", "files")
 
 
-def python_files(spark, sf):
-    """A Python source per document: a class with two methods and a function; every ninth does not parse."""
-    k, n = F.col("doc_id").cast("string"), F.col("n_chars").cast("string")
-    code = _t("class Doc", k, ":\n    \"\"\"Length ", n, ".\"\"\"\n    def size(self):\n        return ", n, "\n\n    async def load(self, a=(1,\n                            2)):\n        pass\n\n\ndef make_", k, "(x):\n    return x\n")
-    return docs(spark, sf).select(F.col("source").alias("repo"), _t("d", k, ".py").alias("path"), F.when(F.col("doc_id") % 9 == 0, F.lit("def broken(:\n")).otherwise(code).alias("source"))
-
-
-@register("python_symbols", """
-SELECT 'd' || doc_id || '.py' AS path, kind, qualified_name, signature, start_line, end_line, parent_id, documentation FROM documents, LATERAL (VALUES
-  ('class', 'Doc' || doc_id, 'class Doc' || doc_id, 1, 8, NULL, 'Length ' || n_chars || '.'),
-  ('method', 'Doc' || doc_id || '.size', 'def size(self)', 3, 4, 'd' || doc_id || '.py#class:Doc' || doc_id || ':1', NULL),
-  ('async_method', 'Doc' || doc_id || '.load', 'async def load(self, a=(1,' || chr(10) || '                            2))', 6, 8, 'd' || doc_id || '.py#class:Doc' || doc_id || ':1', NULL),
-  ('function', 'make_' || doc_id, 'def make_' || doc_id || '(x)', 11, 12, NULL, NULL)) v(kind, qualified_name, signature, start_line, end_line, parent_id, documentation)
-WHERE doc_id % 9 <> 0""")
-def python_symbols(spark, sf):
-    rows = corpus.python_symbols(python_files(spark, sf)).where("parse_error IS NULL")
-    return rows.select("path", "kind", "qualified_name", "signature", "start_line", "end_line", "parent_id", "documentation")
-
-
 @register("topo_order", """
 WITH RECURSIVE up(p, k, level) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT p, k // 4, level + 1 FROM up WHERE k > 0)
 SELECT CAST(p AS VARCHAR) AS path, CAST(max(level) AS INTEGER) AS level, row_number() OVER (ORDER BY max(level), CAST(p AS VARCHAR)) - 1 AS pos FROM up GROUP BY p""")

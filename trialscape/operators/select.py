@@ -178,7 +178,7 @@ def failure_cases(facts: DataFrame) -> DataFrame:
 
 
 def list_discrepancies(checked: DataFrame, trial: str | None = None, criterion: str | None = None,
-                       limit: int | None = 100) -> DataFrame:
+                       limit: int | None = None) -> DataFrame:
     """FLT-12: rows without unanimity or without a majority, in trial order."""
     conditions = [~F.coalesce("unanimous", F.lit(False)) | ~F.coalesce("has_majority", F.lit(False))]
     if trial:
@@ -193,7 +193,7 @@ def list_discrepancies(checked: DataFrame, trial: str | None = None, criterion:
 
 
 def behavior_examples(df: DataFrame, flag: str, configuration: str | None = None, task: str | None = None,
-                      limit: int | None = 10) -> DataFrame:
+                      limit: int | None = None) -> DataFrame:
     """FLT-13: rows with a behaviour flag set."""
     conditions = [F.col(flag)]
     if configuration:

@@ -58,12 +58,13 @@ def _qualified(v: Column, names: Column) -> Column:
     return F.coalesce(given, F.array_join(F.concat(names, F.array(_named(v))), "."))
 
 
-def flatten_symbols(files: DataFrame, depth: int = 8) -> DataFrame:
+def flatten_symbols(files: DataFrame, depth: int | None = None) -> DataFrame:
     """DOC-5: one row per symbol of ``files`` (workspaceId, path, symbols VARIANT) with its kind, names,
     ids, line range, code, level and the ids of its ancestors, outermost first.
 
-    Levels are unrolled as column expressions, so a file is read once and nothing is shuffled. A
-    tree deeper than ``depth`` fails the job instead of losing symbols."""
+    Levels are unrolled as column expressions, so nothing is shuffled. How many there are is found
+    first, by looking twice as deep until nothing is left there; a caller who knows ``depth`` saves
+    that pass, and a deeper tree then fails the job instead of losing symbols."""
     path = F.col("path")
 
     def node(v: Column, i: Column, parent: Column, names: Column, ids: Column) -> Column:
@@ -84,9 +85,18 @@ def flatten_symbols(files: DataFrame, depth: int = 8) -> DataFrame:
 
     none = F.array().cast("array<string>")
     top = F.coalesce(F.try_variant_get("symbols", "$", "array<variant>"), F.array().cast("array<variant>"))
-    rows = files.withColumn("__l0", level_of(top, F.lit(None).cast("string"), none, none))
-    for level in range(1, depth + 1):
-        rows = rows.withColumn(f"__l{level}", F.flatten(F.transform(F.col(f"__l{level - 1}"), children)))
+
+    def unrolled(levels: int) -> DataFrame:
+        rows = files.withColumn("__l0", level_of(top, F.lit(None).cast("string"), none, none))
+        for level in range(1, levels + 1):
+            rows = rows.withColumn(f"__l{level}", F.flatten(F.transform(F.col(f"__l{level - 1}"), children)))
+        return rows
+
+    if depth is None:
+        depth = 4
+        while not unrolled(depth).where(F.size(f"__l{depth}") > 0).isEmpty():
+            depth *= 2
+    rows = unrolled(depth)
     too_deep = F.size(f"__l{depth}") > 0
     failed = F.raise_error(F.concat(F.lit(f"symbols nested deeper than {depth} in "), path)).cast("boolean")
     rows = rows.where(F.when(too_deep, failed).otherwise(True))

@@ -72,8 +72,10 @@ def stream_match(items: DataFrame, jobs: DataFrame) -> DataFrame:
     return renamed.join(jobs, F.col("__id") == F.col("custom_id"), "inner").drop("__id")
 
 
-def run_to_end(query: StreamingQuery, seconds: int = 600) -> None:
-    """Wait for an available-now query; a failed one raises."""
-    if not query.awaitTermination(seconds):
+def run_to_end(query: StreamingQuery, seconds: int | None = None) -> None:
+    """Wait for an available-now query, without a limit unless one is given; a failed one raises."""
+    if seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(seconds):
         query.stop()
         raise TimeoutError("stream did not finish")
