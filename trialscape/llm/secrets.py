@@ -99,6 +99,8 @@ def trigram_query(items) -> list:
         if one is not None and len(words) * len(one) <= MOST:
             words = {a + b for a in words for b in one}
             continue
+        if kind is op.MAX_REPEAT and value[0] >= 1 and (inner := _exact(value[2])) and len(words) * len(inner) <= MOST:
+            words = {a + b for a in words for b in inner}  # the first repetition follows directly
         needs += _of(words)
         words = {""} if one is None else one
         if one is not None:
