@@ -243,7 +243,10 @@ def near_duplicates(
     met = spark.read.parquet(f"{folder}/met")
 
     known = classes.withColumn("value", F.struct("size", "sketch"))
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    # the texts that can be asked for, so that later steps shuffle no others
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    texts.join(met.select(F.col("b").alias("id")).distinct(), "id", "left_semi").write.parquet(f"{folder}/texts")
+    full = spark.read.parquet(f"{folder}/texts")
 
     def read_sketch(column):
         sizes = column.field("size").to_numpy()
@@ -265,7 +268,6 @@ def near_duplicates(
     def confirmed(likely: DataFrame, name: str) -> DataFrame:
         likely.write.parquet(f"{folder}/{name}-likely")
         likely = spark.read.parquet(f"{folder}/{name}-likely")
-        full = texts.select(F.col("doc_id").alias("id"), "text")
         beside_anchor(likely, full, "text", lambda column: shingle_sets(column, words), linked).write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
