@@ -24,8 +24,10 @@ MARGIN = 0.12
 """Pairs whose estimate is further below the threshold aren't verified: over four and a half standard deviations."""
 TILE = 1024
 
-ANCHORS, ANCHOR_ROUNDS = 8, 2
+ANCHORS, ANCHOR_ROUNDS = 8, 1
 """Members of a band that all others meet, in so many rounds, before the remaining pairs are looked at."""
+SHARE = 256
+"""Partners, on average, that an anchor's value is sent with."""
 
 _MULTIPLIERS = (mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SHIFTS = (mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) << np.uint64(20)) >> np.uint64(32)).astype(np.uint32)
@@ -131,11 +133,13 @@ def beside_anchor(
     pairs: DataFrame, rows: DataFrame, value: str, read: Callable[[pa.Array], Iterator], holds: Callable[[object, object], bool]
 ) -> DataFrame:
     """The pairs (``a``, ``b``) for which ``holds(read value of a, of b)``. ``rows`` has (``id``, ``value``).
+    ``pairs`` is read twice, so it should be a written table.
 
     Pairs are dealt by their anchor ``a`` and a share of ``b``, so that a frequent anchor fills
     many tasks; the anchor's value travels once a share and is followed by its partners', which
     pass one by one. Memory: one anchor and one batch."""
-    shared = pairs.select("a", "b", (F.xxhash64("b") % 64).alias("share"))
+    shares = pairs.groupBy(F.col("a").alias("a2")).agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("shares"))
+    shared = pairs.join(shares, F.col("a") == F.col("a2")).select("a", "b", F.pmod(F.xxhash64("b"), "shares").alias("share"))
     wanted = shared.select("a", "share", F.lit(0).alias("role"), F.col("a").alias("need")).distinct().unionByName(
         shared.select("a", "share", F.lit(1).alias("role"), F.col("b").alias("need"))
     )
@@ -219,9 +223,10 @@ def near_duplicates(
     is kept. Rows that repeat a doc_id are one document: their links unite. A row with null doc_id takes no part: its component is null and
     it is kept. An empty table gives no rows; other columns are ignored. doc_id is a whole number.
 
-    Equal sets are one class, represented by its least id, so copies are never paired. In each
-    band every class is first held against the band's least one, then, where the members still
-    belong to different components, against a few others chosen by hash; all pairs that are then
+    Equal sets are one class, represented by its least id, so copies are never paired. Every class
+    is first held against one class, of the least ones of its bands that with most bands in common;
+    then, in bands whose members still belong to different components, against the band's least
+    one if that is of another component, then against a few others chosen by hash; all pairs that are then
     left between components are looked at in the end, in tiles and by the sketches first. So a large
     group of near copies costs a few comparisons a member, and no link between components is left out.
     """
@@ -263,6 +268,8 @@ def near_duplicates(
         return shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs.write.parquet(f"{folder}/{name}-pairs")
+        pairs = spark.read.parquet(f"{folder}/{name}-pairs")
         return confirmed(beside_anchor(pairs, known, "value", read_sketch, near), name)
 
     def confirmed(likely: DataFrame, name: str) -> DataFrame:
@@ -271,7 +278,9 @@ def near_duplicates(
         beside_anchor(likely, full, "text", lambda column: shingle_sets(column, words), linked).write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    links = verified(met.where("a <> b").select("a", "b").distinct(), "first")
+    # of the least members of its bands, the one that a class shares most bands with
+    common = met.where("a <> b").groupBy("b", "a").agg(F.count(F.lit(1)).alias("n"))
+    links = verified(common.groupBy("b").agg(F.max_by("a", F.struct("n", F.negative("a"))).alias("a")).select("a", "b"), "first")
     # rows of one doc_id in several classes
     doubles = (
         real.join(classes.select("print_a", "print_b", "id"), ["print_a", "print_b"]).where("doc_id <> id")
@@ -286,6 +295,12 @@ def near_duplicates(
         several = tagged.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high")
         return tagged.join(several.select("band"), "band")
 
+    # the least members of other components
+    rest = open_rows("open-least")
+    least = rest.where("a = b").select(F.col("band").alias("band2"), F.col("own").alias("own2"))
+    pairs = rest.where("a <> b").join(least, F.col("band") == F.col("band2")).where("own <> own2")
+    links = links.unionByName(verified(pairs.select("a", "b").distinct(), "least"))
+
     for step in range(ANCHOR_ROUNDS):
         rest = open_rows(f"open-{step}")
         pick = F.min(F.struct(F.xxhash64("b", F.lit(step)).alias("h"), F.col("b").alias("a"), F.col("own").alias("own2")))
