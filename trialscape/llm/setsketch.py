@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -129,6 +130,16 @@ def band_keys(classes: DataFrame) -> DataFrame:
     return classes.select("id", "sketch").mapInArrow(work, "band bigint, id bigint")
 
 
+def by_id(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a written table in buckets of ``id``: joins on ``id`` move only their other side.
+    There are as many buckets as a shuffle has partitions."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"buckets_{uuid.uuid4().hex}"
+    df.repartition(parts, "id").write.bucketBy(parts, "id").option("path", path).saveAsTable(name, format="parquet")
+    return spark.table(name)
+
+
 def beside_anchor(
     pairs: DataFrame, rows: DataFrame, value: str, read: Callable[[pa.Array], Iterator], holds: Callable[[object, object], bool]
 ) -> DataFrame:
@@ -236,10 +247,9 @@ def near_duplicates(
     rows = spark.read.parquet(f"{folder}/sketches")
     real = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     # the least id of a set; equal sets have equal sketches
-    real.groupBy("print_a", "print_b").agg(
+    classes = by_id(real.groupBy("print_a", "print_b").agg(
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")
-    ).write.parquet(f"{folder}/classes")
-    classes = spark.read.parquet(f"{folder}/classes")
+    ), f"{folder}/classes")
     band_keys(classes).write.parquet(f"{folder}/bands")
     bands = spark.read.parquet(f"{folder}/bands")
     holders = bands.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("band", "a")
@@ -250,8 +260,7 @@ def near_duplicates(
     known = classes.withColumn("value", F.struct("size", "sketch"))
     # the texts that can be asked for, so that later steps shuffle no others
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    texts.join(met.select(F.col("b").alias("id")).distinct(), "id", "left_semi").write.parquet(f"{folder}/texts")
-    full = spark.read.parquet(f"{folder}/texts")
+    full = by_id(texts.join(met.select(F.col("b").alias("id")).distinct(), "id", "left_semi"), f"{folder}/texts")
 
     def read_sketch(column):
         sizes = column.field("size").to_numpy()
