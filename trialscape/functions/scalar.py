@@ -201,7 +201,7 @@ def variant_text(v: Column, path: str) -> Column:
 
 def variant_array(v: Column, path: str) -> Column:
     """A list at a path as ARRAY<VARIANT>; other types give null."""
-    return F.when(variant_kind(v, path) == "ARRAY", F.try_variant_get(v, path, "array<variant>"))
+    return F.try_variant_get(v, path, "array<variant>")
 
 
 def variant_bool01(v: Column) -> Column:

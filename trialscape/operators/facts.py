@@ -117,21 +117,12 @@ def build_trial_facts(
 ) -> DataFrame:
     """JON-1: planned trials with their latest response, latest evaluation and vote spread.
 
-    All sides are reduced to one row per trial before they meet, so the joins share the
-    partitioning on ``trialId`` and no key repeats."""
-    r = latest(
-        responses.select(
-            "trialId", seq, "status", "response", "errorMessage", "traceRef", "usage", "metricsSummary"
-        ),
-        ["trialId"], seq,
-    ).select("trialId", F.struct("status", "response", "errorMessage", "traceRef", "usage", "metricsSummary").alias("r"))
-    e_columns = [
-        "status", "evaluationMethod", "judgeCount", "judgeErrorCount", "outcome", "evaluationInputTokens",
-        "evaluationOutputTokens", "evaluationDurationMs", "traceRef", "details",
-    ]
-    e = latest(evals.select("trialId", seq, *e_columns), ["trialId"], seq).select(
-        "trialId", F.struct(*e_columns).alias("e")
-    )
+    All sides are cut to what the facts show and reduced to one row per trial before they meet, so
+    the joins share the partitioning on ``trialId``, no key repeats, and no response text travels."""
+    r = latest(responses.select("trialId", seq, *_response_columns()), ["trialId"], seq)
+    r = r.select("trialId", F.struct(*[c for c in r.columns if c not in ("trialId", seq)]).alias("r"))
+    e = latest(evals.select("trialId", seq, *_eval_columns()), ["trialId"], seq)
+    e = e.select("trialId", F.struct(*[c for c in e.columns if c not in ("trialId", seq)]).alias("e"))
     joined = trials.join(r, "trialId", "left").join(e, "trialId", "left").join(
         vote_spread(votes), "trialId", "left"
     )
@@ -148,16 +139,45 @@ def build_trial_facts(
     return joined.select(*_fact_columns())
 
 
+_COUNTERS = [
+    "inputTokens", "outputTokens", "totalTokens", "cachedInputTokens", "cacheReadInputTokens", "reservedTokens",
+    "totalDurationMs", "modelDurationMs", "toolDurationMs", "modelCalls", "toolCalls", "functionCalls",
+    "mcpToolCalls", "steps",
+]
+
+
+def _response_columns() -> list[Column]:
+    """What the facts show of a response: an excerpt and whether there is a text, not the text."""
+    f = F.col
+    return [
+        f("status"), f("errorMessage"), filled(f("response")).alias("filled"), truncate("response", 280).alias("excerpt"),
+        filled(f("traceRef")).alias("traced"), f("usage.reasoningTokens").cast("double").alias("reasoningTokens"),
+        *[f(f"metricsSummary.{c}").cast("double").alias(c) for c in _COUNTERS],
+    ]
+
+
+def _eval_columns() -> list[Column]:
+    f = F.col
+    return [
+        f("status"), f("evaluationMethod"), filled(f("traceRef")).alias("traced"),
+        *[f(f"outcome.{c}.rating").alias(c) for c in ("correctness", "completeness")],
+        *[variant_bool01(f(f"outcome.{c}.agreement")).alias(f"{c}Agreed") for c in ("correctness", "completeness")],
+        f("details.outcome.passed").alias("passed"), f("details.repoqa.bestSimilarScore").alias("bestSimilarScore"),
+        *[f(c).cast("double").alias(c) for c in (
+            "judgeCount", "judgeErrorCount", "evaluationInputTokens", "evaluationOutputTokens", "evaluationDurationMs")],
+    ]
+
+
 def _fact_columns() -> list[Column]:
     f = F.col
-    m = lambda name: f(f"r.metricsSummary.{name}").cast("double")
+    m = lambda name: f(f"r.{name}")
     method = f("e.evaluationMethod")
-    ratings = f("e.outcome.correctness.rating"), f("e.outcome.completeness.rating")
-    agreed = [variant_bool01(f(f"e.outcome.{c}.agreement")) for c in ("correctness", "completeness")]
+    ratings = f("e.correctness"), f("e.completeness")
+    agreed = [f("e.correctnessAgreed"), f("e.completenessAgreed")]
     judged = method == fixed.JUDGE_METHOD
     false = lambda c: F.coalesce(c, F.lit(False))
-    exec_trace = false(f("__trace")) | filled(f("r.traceRef"))
-    eval_trace = false(f("__eval_trace")) | filled(f("e.traceRef"))
+    exec_trace = false(f("__trace")) | false(f("r.traced"))
+    eval_trace = false(f("__eval_trace")) | false(f("e.traced"))
     unanimous = (
         F.when(f("__valid") >= 2, f("__one"))
         .when(F.coalesce(f("__votes"), F.lit(0)) > 0, F.lit(None))
@@ -176,26 +196,26 @@ def _fact_columns() -> list[Column]:
         m("inputTokens").alias("input_tokens"), m("outputTokens").alias("output_tokens"),
         m("totalTokens").alias("total_tokens"), m("cachedInputTokens").alias("cached_input_tokens"),
         m("cacheReadInputTokens").alias("cached_read_tokens"), m("reservedTokens").alias("reserved_tokens"),
-        f("r.usage.reasoningTokens").cast("double").alias("reasoning_tokens"),
+        m("reasoningTokens").alias("reasoning_tokens"),
         m("totalDurationMs").alias("duration_ms"), seconds(m("totalDurationMs")).alias("duration_sec"),
         m("modelDurationMs").alias("model_duration_ms"), m("toolDurationMs").alias("tool_duration_ms"),
         m("modelCalls").alias("model_calls"), m("toolCalls").alias("tool_calls"),
         m("functionCalls").alias("function_calls"), m("mcpToolCalls").alias("mcp_tool_calls"),
         m("steps").alias("steps"),
         primary_name(method).alias("primary_metric_name"),
-        primary_success(method, *ratings, f("e.details.outcome.passed")).alias("primary_success"),
-        primary_score(method, *ratings, f("e.details.repoqa.bestSimilarScore")).alias("primary_score"),
-        f("e.evaluationInputTokens").cast("double").alias("evaluation_input_tokens"),
-        f("e.evaluationOutputTokens").cast("double").alias("evaluation_output_tokens"),
-        f("e.evaluationDurationMs").cast("double").alias("evaluation_duration_ms"),
-        F.when(judged, f("e.judgeCount").cast("double")).alias("judge_count"),
-        F.when(judged, f("e.judgeErrorCount").cast("double")).alias("judge_error_count"),
+        primary_success(method, *ratings, f("e.passed")).alias("primary_success"),
+        primary_score(method, *ratings, f("e.bestSimilarScore")).alias("primary_score"),
+        f("e.evaluationInputTokens").alias("evaluation_input_tokens"),
+        f("e.evaluationOutputTokens").alias("evaluation_output_tokens"),
+        f("e.evaluationDurationMs").alias("evaluation_duration_ms"),
+        F.when(judged, f("e.judgeCount")).alias("judge_count"),
+        F.when(judged, f("e.judgeErrorCount")).alias("judge_error_count"),
         F.when(judged, (agreed[0].cast("int").cast("double") + agreed[1].cast("int").cast("double")) / 2.0)
         .alias("judge_agreement_mean"),
         F.when(judged, unanimous).alias("judge_unanimous"),
         (exec_trace | eval_trace).alias("trace_available"),
         exec_trace.alias("execution_trace_available"), eval_trace.alias("eval_trace_available"),
-        filled(f("r.response")).alias("raw_response_available"),
+        false(f("r.filled")).alias("raw_response_available"),
         (F.coalesce(m("toolCalls"), m("functionCalls"), m("mcpToolCalls")).isNotNull() | false(f("__tool")))
         .alias("tool_calls_observable"),
         native.alias("native_mcp_observable"),
@@ -203,7 +223,7 @@ def _fact_columns() -> list[Column]:
         F.coalesce(m("inputTokens"), m("outputTokens"), m("totalTokens")).isNotNull().alias("usage_observable"),
         (filled(f("r.errorMessage")) | false(f("__error"))).alias("error_observable"),
         f("r.errorMessage").alias("error_message"),
-        truncate(f("r.response"), 280).alias("response_excerpt"),
+        f("r.excerpt").alias("response_excerpt"),
     ]
 
 

@@ -59,14 +59,17 @@ def calls_of(trace: Column) -> Column:
 
 
 def tool_events(traces: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """RSH-5, SET-5, WIN-6: one row per distinct call of a trace with its 1-based position."""
+    """RSH-5, SET-5, WIN-6: one row per distinct call of a trace with its 1-based position. Calls are
+    compared as JSON text, which Spark makes distinct by hash and not by pairs."""
     columns = keep or ["trialId"]
+    texts = F.array_distinct(F.transform(calls_of(F.col("__t")), lambda c: F.to_json(c)))
     return (
         traces.where(F.col("body").isNotNull())
         .select(*columns, payload(F.col("body")).alias("__t"))
-        .select(*columns, F.array_distinct(calls_of(F.col("__t"))).alias("__c"))
+        .select(*columns, texts.alias("__c"))
         .select(*columns, F.posexplode("__c").alias("call_index", "__c"))
-        .select(*columns, (F.col("call_index") + 1).cast("long").alias("call_index"), "__c.*")
+        .select(*columns, (F.col("call_index") + 1).cast("long").alias("call_index"), F.from_json("__c", _CALL).alias("__c"))
+        .select(*columns, "call_index", "__c.*")
     )
 
 

@@ -35,20 +35,19 @@ def resolve_traces(rows: DataFrame, traces: DataFrame) -> DataFrame:
     target = F.when(F.length(ref) == 0, F.lit(None)).when(
         F.rlike(ref, F.lit(r"^([a-z0-9]+:)?/")), ref
     ).otherwise(F.concat(F.col("experimentDir"), F.lit("/"), ref))
-    by_path = traces.select(
-        F.regexp_replace("path", "^file:/+", "/").alias("__path"),
-        F.col("body").alias("__by_path"),
-        F.lit(True).alias("__hit"),
+    known = traces.select(F.regexp_replace("path", "^file:/+", "/").alias("__path"), "experimentDir", "trialId")
+    by_path = known.select("__path", F.col("__path").alias("__hit"))
+    by_id = known.select(
+        F.col("experimentDir").alias("__dir"), F.col("trialId").alias("__id"), F.col("__path").alias("__named")
     )
-    by_id = traces.select(
-        F.col("experimentDir").alias("__dir"), F.col("trialId").alias("__id"), F.col("body").alias("__by_id")
-    )
-    joined = (
+    # paths only, so that each body is shuffled once
+    chosen = (
         rows.withColumn("__target", F.regexp_replace(target, "^file:/+", "/"))
-        .join(by_path, F.col("__target") == F.col("__path"), "left")
+        .join(by_path, F.col("__target") == F.col("__path"), "left").drop("__path")
         .join(by_id, (F.col("experimentDir") == F.col("__dir")) & (F.col("trialId") == F.col("__id")), "left")
+        .withColumn("__chosen", F.coalesce("__hit", "__named"))
     )
-    chosen = F.when(F.col("__hit"), F.col("__by_path")).otherwise(F.col("__by_id"))
-    return joined.withColumn("trace", chosen).drop(
-        "__target", "__path", "__by_path", "__hit", "__dir", "__id", "__by_id"
+    bodies = traces.select(F.regexp_replace("path", "^file:/+", "/").alias("__path"), F.col("body").alias("trace"))
+    return chosen.join(bodies, F.col("__chosen") == F.col("__path"), "left").drop(
+        "__target", "__path", "__hit", "__dir", "__id", "__named", "__chosen"
     )
