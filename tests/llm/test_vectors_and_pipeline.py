@@ -56,6 +56,33 @@ def test_near_duplicate_vectors(spark, vectors):
     assert projection.near_duplicate_vectors(table.where("false")).count() == 0
 
 
+def test_pairs_in_a_dense_topic_are_found(spark):
+    """A third of the rows share most leading bits without being linked; all planted pairs among them must be found."""
+    rng, dim, size = np.random.default_rng(11), 64, 3000
+    normal = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(n, dim)))
+    topic = np.sqrt(0.92) * normal(1) + np.sqrt(0.08) * normal(size)
+    step = normal(60)
+    own = topic[:60] / np.linalg.norm(topic[:60], axis=1, keepdims=True)
+    step -= (step * own).sum(axis=1, keepdims=True) * own
+    step /= np.linalg.norm(step, axis=1, keepdims=True)
+    rows = np.concatenate((topic, 0.955 * own + np.sqrt(1 - 0.955**2) * step, normal(2 * size))).astype(np.float32)
+    whole = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    parent, links = list(range(len(rows))), np.zeros(len(rows), int)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in zip(*np.nonzero(np.triu(whole @ whole.T >= 0.95, 1))):
+        links[[i, j]] += 1
+        x, y = sorted((root(i), root(j)))
+        parent[y] = x
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id BIGINT, embedding ARRAY<FLOAT>")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in projection.near_duplicate_vectors(table).collect()}
+    assert links.sum() >= 100 and found == {i: (links[i], root(i)) for i in range(len(rows))}
+
+
 def test_nearest(spark, vectors):
     rows, table = vectors
     good = usable(rows)
