@@ -282,6 +282,15 @@ def test_near_duplicates(spark, texts, words):
     assert setsketch.near_duplicates(docs.where("false"), words).count() == 0
 
 
+def test_few_words_alone_in_a_batch(spark):
+    for text, size in (("", 0), ("one", 1), ("one two", 1), ("one two three", 1), ("a b c d e f", 2)):
+        assert [len(x) for x in setsketch.shingle_sets(pa.array([text]), 5)] == [size]
+    rows = [(1, "one two"), (2, "one two three"), (3, "one two"), (4, "one")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartitionByRange(4, "doc_id")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in setsketch.near_duplicates(docs, words=5).collect()}
+    assert found == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (1, 4)}
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     items = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)

@@ -42,7 +42,8 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
         hashes, at = word_hashes(data[own[0] : own[-1]], own - own[0])
         rolled = np.zeros(len(hashes), np.uint64)
         for k in range(words):
-            rolled[: len(hashes) - k] = mix(rolled[: len(hashes) - k] ^ hashes[k:]) if k else mix(hashes)
+            left = max(0, len(hashes) - k)
+            rolled[:left] = mix(rolled[:left] ^ hashes[k:]) if k else mix(hashes)
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
             if b - a >= words:
                 yield np.unique(rolled[a : b - words + 1])
