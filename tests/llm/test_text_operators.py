@@ -282,6 +282,17 @@ def test_near_duplicates(spark, texts, words):
     assert setsketch.near_duplicates(docs.where("false"), words).count() == 0
 
 
+def test_iban_before_capitals_and_digits():
+    cues = pii.automaton()
+    for text, want in (
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "IBAN <IBAN> BIC COBADEFFXXX"),
+        ("IBAN DE89370400440532013000 EUR 200", "IBAN <IBAN> EUR 200"),
+        ("IBAN GB00 AAAA BBBB CCCC IBAN DE89 3704 0044 0532 0130 00", "IBAN GB00 AAAA BBBB CCCC IBAN <IBAN>"),
+        ("IBAN DE88 3704 0044 0532 0130 00 BIC COBADEFFXXX", "IBAN DE88 3704 0044 0532 0130 00 BIC COBADEFFXXX"),
+    ):
+        assert pii.redact(text, [s for s in pii.spans_of(text, cues) if pii.KINDS[s[0]] == "iban"]) == want
+
+
 def test_few_words_alone_in_a_batch(spark):
     for text, size in (("", 0), ("one", 1), ("one two", 1), ("one two three", 1), ("a b c d e f", 2)):
         assert [len(x) for x in setsketch.shingle_sets(pa.array([text]), 5)] == [size]

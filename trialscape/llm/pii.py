@@ -38,6 +38,15 @@ def iban_holds(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int | None:
+    """Where the longest reading of ``text[start:end]``, cut at a space or at its end, whose check digits hold stops."""
+    while end > start and len(text[start:end].replace(" ", "")) >= 15:
+        if iban_holds(text[start:end]):
+            return end
+        end = text.rfind(" ", start, end)
+    return None
+
+
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for cue, kind in CUES.items():
@@ -88,7 +97,9 @@ def spans_of(text: str, cues: ahocorasick.Automaton) -> list[tuple[int, int, int
         elif kind == "iban":
             if (m := IBAN.match(text, last + 1)) is None:
                 continue
-            (start, end), valid = m.span(1), iban_holds(m[1])
+            start, end = m.span(1)
+            valid = (stop := iban_end(text, start, end)) is not None
+            end = stop if valid else start  # a cue in what didn't hold is looked at
         else:
             if (m := ACCOUNT.match(text, last + 1)) is None:
                 continue
@@ -115,7 +126,7 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Base kinds: email, ip (parts up to 255), card (16 to 19 digits, check digit holds), phone (8 to
     15 digits). Beyond them: user and password in an address (login), account numbers after a
-    cue, and IBANs after a cue whose check digits hold.
+    cue, and IBANs after a cue whose check digits hold; capitals and digits may follow an IBAN after a space.
 
     Null or empty text has no spans; repeated rows each get theirs; an empty table stays empty; an
     input column named ``spans`` is replaced. Whole texts are read once, nothing is shuffled.
