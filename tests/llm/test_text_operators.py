@@ -182,6 +182,15 @@ def test_neighbours_are_those_of_plain_bm25():
         assert shard.neighbours(seed).tolist() == sorted(score, key=lambda d: (-score[d], d))
 
 
+def test_neighbours_by_light_terms_count():
+    """The seed's 40 rare terms are its own; it shares only more common ones, with one document more than with the other."""
+    docs = [[*range(40), 50, 51, 52], [50, 51, 60], [50, 61, 62], *[[50, 51, 52]] * 3, [63]]
+    ids, at = np.concatenate(docs).astype(np.uint32), np.cumsum([0, *map(len, docs)])
+    df = np.array([sum(t in d for d in docs) for t in range(64)], float)
+    found = packing.Shard(ids, at, df, len(docs), 9.0).neighbours(0).tolist()
+    assert found == [3, 4, 5, 1, 2]
+
+
 def test_language_chain(spark, texts):
     rng = np.random.default_rng(0)
     at = np.cumsum([0, 0, 1, 5, 64, 65, 200])

@@ -16,8 +16,6 @@ from trialscape.session import scratch_path
 
 SHARD_IDS = 1 << 21
 """Ids of a shard, about; each shard has an inverted index of its own."""
-QUERY_TERMS = 24
-"""A seed is looked up by so many of its heaviest terms."""
 K1, B = 1.2, 0.75
 
 
@@ -44,14 +42,11 @@ class Shard:
         self.posting_at = np.searchsorted(term[order], np.arange(len(frequency) + 1))
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """The other documents that share a heavy term with the seed, the best first."""
-        a, b = self.of[seed], self.of[seed + 1]
-        terms, weights = self.terms[a:b], self.weights[a:b]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(weights, -QUERY_TERMS)[-QUERY_TERMS:]]
-        where = [slice(self.posting_at[t], self.posting_at[t + 1]) for t in terms.tolist()]
-        found = np.concatenate([self.posting_docs[w] for w in where])
-        score = np.bincount(found, np.concatenate([self.posting_weights[w] for w in where]), self.documents)
+        """The other documents that share a term with the seed, the best first."""
+        score = np.zeros(self.documents)
+        for t in self.terms[self.of[seed] : self.of[seed + 1]].tolist():
+            where = slice(self.posting_at[t], self.posting_at[t + 1])
+            score[self.posting_docs[where]] += self.posting_weights[where]
         score[seed] = 0
         best = np.flatnonzero(score)
         return best[np.lexsort((best, -score[best]))]
