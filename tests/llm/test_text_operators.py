@@ -302,6 +302,14 @@ def test_iban_before_capitals_and_digits():
         assert pii.redact(text, [s for s in pii.spans_of(text, cues) if pii.KINDS[s[0]] == "iban"]) == want
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcdef"]
+    rows = [(1, t) for t in texts] + [(10 + i, t + " more") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    found = {(r.doc_id, r.component_id) for r in setsketch.near_duplicates(docs, words=2).collect()}
+    assert found == {(1, 1)} | {(10 + i, 1) for i in range(len(texts))}
+
+
 def test_few_words_alone_in_a_batch(spark):
     for text, size in (("", 0), ("one", 1), ("one two", 1), ("one two three", 1), ("a b c d e f", 2)):
         assert [len(x) for x in setsketch.shingle_sets(pa.array([text]), 5)] == [size]

@@ -100,6 +100,20 @@ def test_nearest(spark, vectors):
     assert blockjoin.nearest(few, few, 5).count() == 2
 
 
+def test_nearest_with_many_rows_of_one_id():
+    rng = np.random.default_rng(5)
+    query = rng.normal(size=(1, 16))
+    rows = np.concatenate((query + 0.01 * rng.normal(size=(9, 16)), query + rng.normal(size=(40, 16))))
+    ids = np.array([7] * 9 + list(range(100, 140)))
+    heaps = blockjoin.Heaps(np.array([1]), query, 5)
+    heaps.offer(ids, rows)
+    best = {}
+    for i, v in zip(ids.tolist(), rows):
+        best[i] = max(best.get(i, -1), cosine(query[0], v))
+    want = sorted(best, key=lambda i: (-best[i], i))[:5]
+    assert heaps.found.tolist() == want and np.allclose(heaps.score, [best[i] for i in want])
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3), (101, 102), (101, 100)]
     found = components(spark.createDataFrame(chain, "u BIGINT, v BIGINT")).collect()

@@ -39,8 +39,13 @@ class Heaps:
         slack = lost[None, :] + self.lost[:, None] * (1 + lost[None, :])
         near[self.ids[:, None] == ids[None, :]] = -np.inf
         floor = self.least
-        if len(ids) > self.k:  # at least k candidates here are this near
-            floor = np.maximum(floor, np.partition(near - slack, -self.k, axis=1)[:, -self.k])
+        order = np.argsort(ids, kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1])))
+        if len(starts) > self.k:  # at least k candidates here, of different ids, are this near
+            sure = near - slack
+            if len(starts) < len(ids):
+                sure = np.maximum.reduceat(sure[:, order], starts, axis=1)
+            floor = np.maximum(floor, np.partition(sure, -self.k, axis=1)[:, -self.k])
         owner, at = np.nonzero((near + slack >= floor[:, None]) & (near > -np.inf))
         score = cosines(self.rows[owner], rows[at])
         self.owner = np.concatenate((self.owner, owner))

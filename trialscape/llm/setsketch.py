@@ -137,8 +137,8 @@ def beside_anchor(
     ``pairs`` is read twice, so it should be a written table.
 
     Pairs are dealt by their anchor ``a`` and a share of ``b``, so that a frequent anchor fills
-    many tasks; the anchor's value travels once a share and is followed by its partners', which
-    pass one by one. Memory: one anchor and one batch."""
+    many tasks; the anchor's values (several, if rows repeat its id) travel once a share and are
+    followed by its partners', which pass one by one; any of them may hold. Memory: one anchor and one batch."""
     shares = pairs.groupBy(F.col("a").alias("a2")).agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("shares"))
     shared = pairs.join(shares, F.col("a") == F.col("a2")).select("a", "b", F.pmod(F.xxhash64("b"), "shares").alias("share"))
     wanted = shared.select("a", "share", F.lit(0).alias("role"), F.col("a").alias("need")).distinct().unionByName(
@@ -152,15 +152,17 @@ def beside_anchor(
     dealt = dealt.repartition(parts, "a", "share").sortWithinPartitions("a", "share", "role")
 
     def work(batches):
-        anchor, own = None, None
+        anchor, own = None, []
         for batch in batches:
             left, right = [], []
-            a, role, need = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            a, share, role, need = (batch.column(i).to_pylist() for i in range(4))
             for k, found in enumerate(read(batch.column(4))):
+                if (a[k], share[k]) != anchor:
+                    anchor, own = (a[k], share[k]), []
                 if role[k] == 0:
-                    anchor, own = a[k], found
-                elif a[k] == anchor and holds(own, found):
-                    left.append(anchor)
+                    own.append(found)
+                elif any(holds(x, found) for x in own):
+                    left.append(a[k])
                     right.append(need[k])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
