@@ -344,3 +344,10 @@ def test_hash_of_words_is_that_of_their_bytes():
     hashes, at = arrays.word_hashes(*arrays.flat(column))
     assert at.tolist() == [0, 2, 2, 4, 4] and hashes[0] == hashes[2] and len(set(hashes.tolist())) == 3
     assert zlib.crc32(b"") == 0
+
+
+def test_an_anchor_keeps_all_its_texts(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (10, "a"), (11, "b"), (12, "c")], "id BIGINT, value STRING")
+    pairs = spark.createDataFrame([(1, 10), (1, 11), (1, 12)], "a BIGINT, b BIGINT")
+    found = setsketch.beside_anchor(pairs, rows, "value", lambda column: column.to_pylist(), lambda x, y: x == y)
+    assert {(r.a, r.b) for r in found.collect()} == {(1, 10), (1, 11)}
