@@ -18,6 +18,8 @@ BLOCK = 1 << 23
 """Bytes of text counted at once; a longer piece is taken whole."""
 MOST_WORDS = 1 << 22
 """Bound of the filter of frequent phrases: 32 MB. More phrases fill it more densely, so that more rows are counted."""
+SLICES = 32
+"""A language is ranked in so many slices first, so that one task sees their best only."""
 BITS = 16
 """Bits of the filter per phrase."""
 
@@ -215,6 +217,9 @@ def collocations(
     extended = inner.groupBy("lang", "phrase").agg(F.max("a").alias("longer")).hint("merge")
     swallowed = F.coalesce(F.col("longer").cast("decimal(20,0)") * 100 >= wide("a") * percent, F.lit(False))
     kept = lowest.join(extended, ["lang", "phrase"], "left").where(~swallowed)
-    order = W.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    best_first = [F.desc("cut.score"), F.desc("a"), F.asc("phrase")]
+    for keys in (["lang", F.pmod(F.xxhash64("phrase"), F.lit(SLICES))], ["lang"]):
+        rank = F.row_number().over(W.partitionBy(*keys).orderBy(*best_first)).cast("long")
+        kept = kept.withColumn("rank", rank).where(F.col("rank") <= top)
+    ranked = kept
     return ranked.select("lang", "rank", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
