@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trialscape.session import scratch_path
+
 
 def mean(c: Column | str) -> Column:
     return F.avg(c)
@@ -134,15 +136,36 @@ def with_quantiles(
     return null_safe_join(agg, group_quantiles(df, keys, wanted, min_count, accuracy), keys)
 
 
-def running_position(df: DataFrame, part: list[str], bucket: str, order: list[Column], name: str) -> DataFrame:
-    """1-based position of each row in its group. ``bucket`` must not fall along the order:
-    rows are numbered inside a bucket and shifted by the size of the earlier buckets, so no
-    task sorts a whole group."""
-    sizes = df.groupBy(*part, bucket).agg(F.count(F.lit(1)).alias("__n"))
-    earlier = W.partitionBy(*part).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    shifts = sizes.select(*part, bucket, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__shift"))
-    inside = F.row_number().over(W.partitionBy(*part, bucket).orderBy(*order))
-    numbered = df.withColumn("__in", inside)
-    return null_safe_join(numbered, shifts, [*part, bucket]).withColumn(
-        name, F.col("__in") + F.col("__shift")
-    ).drop("__in", "__shift")
+def running_position(df: DataFrame, part: list[str], order: list[Column], name: str) -> DataFrame:
+    """1-based position of each row in its group (null keys are a group).
+
+    Rows are dealt into ranges of (group, order) and sorted there, so that a group, also one whose rows
+    agree in the leading columns of ``order``, fills as many tasks as its share of the table. The sorted
+    ranges are written once, as their borders come from a sample. A row's number in its range is shifted
+    by the rows of its group in earlier ranges: one row per range and group is added up. Rows that tie
+    in all of ``order`` are numbered in any order."""
+    at, first, many, shift, held = (f"__{x}_{name}" for x in ("at", "first", "many", "shift", "range"))
+    path = scratch_path(df.sparkSession, "ranges")
+    sorting = [*[F.col(f"`{p}`") for p in part], *order]
+    ranges = df.repartitionByRange(*sorting).sortWithinPartitions(*sorting)
+    ranges.withColumn(at, F.monotonically_increasing_id()).write.parquet(path)
+    # the upper 31 bits of an id are the number of its task, tasks are numbered in the order of the ranges
+    placed = df.sparkSession.read.parquet(path).withColumn(held, F.shiftright(at, 33))
+    sizes = placed.groupBy(*part, held).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(many))
+    earlier = W.partitionBy(*part).orderBy(held).rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(many).over(earlier), F.lit(0))
+    shifts = sizes.select(*part, held, (before - F.col(first) + 1).alias(shift))
+    return null_safe_join(placed, shifts, [*part, held]).withColumn(name, F.col(at) + F.col(shift)).drop(at, held, shift)
+
+
+def running_sum(df: DataFrame, part: list[str], position: str, value: str, name: str, block: int = 4096) -> DataFrame:
+    """Sum of ``value`` over the rows of a group up to each row, by a whole-numbered ``position`` without
+    repeats: rows are summed in blocks of positions and shifted by the sum of earlier blocks."""
+    held, total, shift = (f"__{x}_{name}" for x in ("block", "total", "shift"))
+    rows = df.withColumn(held, F.floor(F.col(position) / block))
+    earlier = W.partitionBy(*part).orderBy(held).rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy(*part, held).agg(F.sum(value).alias(total))
+    shifts = totals.select(*part, held, F.coalesce(F.sum(total).over(earlier), F.lit(0)).alias(shift))
+    inside = W.partitionBy(*part, held).orderBy(position).rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = null_safe_join(rows.withColumn(name, F.sum(value).over(inside)), shifts, [*part, held])
+    return summed.withColumn(name, F.col(name) + F.col(shift)).drop(held, shift)

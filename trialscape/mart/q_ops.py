@@ -525,7 +525,7 @@ def ordered_union(spark, sf):
     n = m.table(spark, sf, "nation")
     first = n.where("n_nationkey > 10").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("ord"))
     both = sets.ordered_union(first, n.select(F.col("n_name").alias("name")), "name")
-    return ranking.seq_cap(both.select("name", F.col("ord.__side").alias("s"), F.col("ord.__ord").alias("o")), [], "s", ["o", "name"], name="pos").select(
+    return ranking.seq_cap(both.select("name", F.col("ord.__side").alias("s"), F.col("ord.__ord").alias("o")), [], ["s", "o", "name"], name="pos").select(
         "name", F.col("pos").cast("long").alias("pos"))
 
 

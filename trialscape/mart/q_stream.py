@@ -90,6 +90,32 @@ def artifact_roundtrip(spark, sf):
     return latest(back, ["trialId"]).select("trialId", "status", "metricsSummary.totalTokens", "response")
 
 
+def in_small_splits(spark, size="32k"):
+    """A session that cuts files into many splits, so that a small log is read as a large one is."""
+    session = spark.newSession()
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        session.conf.set(key, size)
+    return session
+
+
+@register("corrupt_lines", """
+SELECT o_orderkey % 7 AS part, line_number, CASE o_orderkey % 3 WHEN 0 THEN '{"trialId": "' || o_orderkey || '", ' WHEN 1 THEN '["' || o_orderkey || '"]' ELSE 'Traceback of ' || o_orderkey END AS line
+FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey % 7 ORDER BY o_orderkey) AS line_number FROM orders) WHERE o_orderkey % 11 = 0""")
+def corrupt_lines(spark, sf):
+    """Seven log files with broken and blank lines among good ones, each read in several splits."""
+    folder, found = scratch_path(spark, "run"), scratch_path(spark, "broken")
+    key = F.col("o_orderkey").cast("string")
+    good = F.to_json(F.struct(key.alias("trialId"), F.lit("success").alias("status"), F.repeat("o_orderpriority", F.lit(5)).alias("response")))
+    bad = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('{"trialId": "'), key, F.lit('", '))).when(
+        F.col("o_orderkey") % 3 == 1, F.concat(F.lit('["'), key, F.lit('"]'))).otherwise(F.concat(F.lit("Traceback of "), key))
+    text = F.when(F.col("o_orderkey") % 11 == 0, bad).when(F.col("o_orderkey") % 13 == 0, F.lit("  ")).otherwise(good)
+    rows = m.table(spark, sf, "orders").select((F.col("o_orderkey") % 7).alias("part"), "o_orderkey", text.alias("value"))
+    sorted_rows = rows.repartition("part").sortWithinPartitions("part", "o_orderkey").drop("o_orderkey")
+    sorted_rows.write.partitionBy("part").text(f"{folder}/responses.jsonl")
+    artifacts.corrupt_lines(in_small_splits(spark), folder, "responses").write.parquet(found)
+    return spark.read.parquet(found).select(F.regexp_extract("file", "part=([0-9]+)", 1).cast("long").alias("part"), "line_number", "line")
+
+
 @register("csv_values", """
 SELECT CAST(l_orderkey AS VARCHAR) AS id, CASE WHEN l_extendedprice = floor(l_extendedprice) THEN CAST(CAST(l_extendedprice AS BIGINT) AS VARCHAR) ELSE format('{:.6g}', l_extendedprice) END AS price,
   CASE WHEN l_discount = 0 THEN '0' ELSE format('{:.6g}', l_discount / 7) END AS share, CASE WHEN l_linenumber > 3 THEN 'true' ELSE 'false' END AS late FROM lineitem""")

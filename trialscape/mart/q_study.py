@@ -426,11 +426,23 @@ def rank_in_entity(spark, sf):
     return ranking.rank_in(rows, ["o_orderstatus"], "o_totalprice", ["o_orderkey"]).select("o_orderkey", "o_orderstatus", "rank_in_entity")
 
 
+@register("rank_few_values", """
+SELECT l_orderkey, l_linenumber, l_discount, row_number() OVER (PARTITION BY l_returnflag = 'R' ORDER BY l_discount, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rank
+FROM lineitem""")
+def rank_few_values(spark, sf):
+    """Eleven distinct values rank all lines: rows of one value are dealt over tasks by their ties."""
+    rows = m.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", (F.col("l_returnflag") == "R").alias("returned")
+    )
+    ties = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return ranking.rank_in(rows, ["returned"], "l_discount", ties, "rank").select("l_orderkey", "l_linenumber", "l_discount", "rank")
+
+
 @register("seq_cap", """
 SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) AS sequence FROM documents""")
 def seq_cap(spark, sf):
     rows = m.table(spark, sf, "documents").select("doc_id", "lang", "source")
-    return ranking.seq_cap(rows, ["lang"], "source", ["doc_id"]).select("doc_id", "lang", "sequence")
+    return ranking.seq_cap(rows, ["lang"], ["source", "doc_id"]).select("doc_id", "lang", "sequence")
 
 
 @register("seq_cap_20", """
@@ -438,7 +450,7 @@ SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY source, doc_i
 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) <= 20""")
 def seq_cap_20(spark, sf):
     rows = m.table(spark, sf, "documents").select("doc_id", "lang", "source")
-    return ranking.seq_cap(rows, ["lang"], "source", ["doc_id"], cap=20).select("doc_id", "lang", "sequence")
+    return ranking.seq_cap(rows, ["lang"], ["source", "doc_id"], cap=20).select("doc_id", "lang", "sequence")
 
 
 @register("position_ratio", """

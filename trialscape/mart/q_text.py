@@ -509,40 +509,55 @@ def target_slice(spark, sf):
 
 cte("x_places", """
 SELECT source || '/' || lang AS repo, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS pos, greatest(1, length(text) // 4) AS tokens, text FROM documents""")
-cte("x_cells", """
-SELECT base_id || '_ctx2k' AS instance_id, p.repo, p.pos AS mid, CAST(floor(greatest(0, 2048 - p.tokens) * 0.55::DOUBLE) AS BIGINT) AS before,
-  greatest(0, 2048 - p.tokens) - CAST(floor(greatest(0, 2048 - p.tokens) * 0.55::DOUBLE) AS BIGINT) AS after FROM x_needle_ids n JOIN x_places p USING (doc_id)""")
-cte("x_packed", """
+for _size, _label in ((2048, "2k"), (16384, "16k"), (65536, "64k")):
+    cte(f"x_cells_{_label}", f"""
+SELECT base_id || '_ctx{_label}' AS instance_id, p.repo, p.pos AS mid, CAST(floor(greatest(0, {_size} - p.tokens) * 0.55::DOUBLE) AS BIGINT) AS before,
+  greatest(0, {_size} - p.tokens) - CAST(floor(greatest(0, {_size} - p.tokens) * 0.55::DOUBLE) AS BIGINT) AS after FROM x_needle_ids n JOIN x_places p USING (doc_id)""")
+    cte(f"x_packed_{_label}", f"""
 SELECT instance_id, repo, pos, doc_id, tokens FROM (
   SELECT c.instance_id, c.repo, p.pos, p.doc_id, p.tokens, c.mid, c.before, c.after,
     sum(p.tokens) OVER (PARTITION BY c.instance_id, sign(p.pos - c.mid) ORDER BY abs(p.pos - c.mid)) AS run
-  FROM x_cells c JOIN x_places p ON c.repo = p.repo) WHERE pos = mid OR (pos < mid AND run <= before) OR (pos > mid AND run <= after)""")
+  FROM x_cells_{_label} c JOIN x_places p ON c.repo = p.repo) WHERE pos = mid OR (pos < mid AND run <= before) OR (pos > mid AND run <= after)""")
 
 
 def placed_files(spark, sf):
     from trialscape.operators.ranking import seq_cap
 
     f = corpus_files(spark, sf).select("repo", "path", "source", "doc_id")
-    return seq_cap(f, ["repo"], "doc_id", ["path"], name="pos").withColumn("pos", F.col("pos") - 1)
+    return seq_cap(f, ["repo"], ["doc_id", "path"], name="pos").withColumn("pos", F.col("pos") - 1)
 
 
-def packed(spark, sf):
-    cells = corpus.expand_instances(ordered_needles(spark, sf), [2048]).withColumn("position_ratio", F.lit(0.55))
+def packed(spark, sf, size=2048):
+    cells = corpus.expand_instances(ordered_needles(spark, sf), [size]).withColumn("position_ratio", F.lit(0.55))
     files = placed_files(spark, sf)
     return corpus.pack_context(cells.select("instance_id", "repo", "path", "requested_context_tokens", "position_ratio"), files), files
 
 
-@register("pack_context", "SELECT instance_id, pos, doc_id, tokens FROM x_packed")
-def pack_context(spark, sf):
-    rows, _ = packed(spark, sf)
+def packed_places(spark, sf, size):
+    rows, _ = packed(spark, sf, size)
     return rows.select("instance_id", "pos", F.substr("path", F.lit(2)).cast("long").alias("doc_id"), "tokens")
 
 
+@register("pack_context", "SELECT instance_id, pos, doc_id, tokens FROM x_packed_2k")
+def pack_context(spark, sf):
+    return packed_places(spark, sf, 2048)
+
+
+@register("pack_context_16k", "SELECT instance_id, pos, doc_id, tokens FROM x_packed_16k")
+def pack_context_16k(spark, sf):
+    return packed_places(spark, sf, 16384)
+
+
+@register("pack_context_64k", "SELECT instance_id, pos, doc_id, tokens FROM x_packed_64k")
+def pack_context_64k(spark, sf):
+    return packed_places(spark, sf, 65536)
+
+
 @register("render_context", """
 SELECT instance_id, n.short AS language, CASE WHEN normalized_language = 'python' THEN '#' ELSE '//' END || ' Repository: ' || n.repo || chr(10) || CASE WHEN normalized_language = 'python' THEN '#' ELSE '//' END
   || ' File: d' || n.doc_id || chr(10) || chr(10) || regexp_replace(c.code, '^\\n+|\\n+$', '', 'g') || chr(10) AS context, c.tokens AS code_context_ntokens
-FROM (SELECT instance_id, string_agg(text, chr(10) ORDER BY x_packed.pos) AS code, CAST(sum(x_packed.tokens) AS BIGINT) AS tokens
-  FROM x_packed JOIN documents USING (doc_id) GROUP BY instance_id) c JOIN x_needle_ids n ON c.instance_id = n.base_id || '_ctx2k'""")
+FROM (SELECT instance_id, string_agg(text, chr(10) ORDER BY x_packed_2k.pos) AS code, CAST(sum(x_packed_2k.tokens) AS BIGINT) AS tokens
+  FROM x_packed_2k JOIN documents USING (doc_id) GROUP BY instance_id) c JOIN x_needle_ids n ON c.instance_id = n.base_id || '_ctx2k'""")
 def render_context(spark, sf):
     rows, files = packed(spark, sf)
     texts = corpus.code_context(rows, files)

@@ -39,9 +39,8 @@ def pareto(df: DataFrame, cost: str, quality: str, tie: str) -> DataFrame:
 
 
 def rank_in(df: DataFrame, part: list[str], order: str, tie: list[str], name: str = "rank_in_entity") -> DataFrame:
-    """WIN-4: position by rising ``order`` inside each group."""
-    rows = df.withColumn("__bucket", monotone_bucket(F.col(order).cast("double")))
-    return running_position(rows, part, "__bucket", [F.col(order), *[F.col(t) for t in tie]], name).drop("__bucket")
+    """WIN-4: position by rising ``order`` inside each group; rows of one value go by ``tie``."""
+    return running_position(df, part, [F.col(order), *[F.col(t) for t in tie]], name)
 
 
 def minmax(df: DataFrame, column: str, name: str, by: list[str] | None = None) -> DataFrame:
@@ -59,14 +58,13 @@ def minmax(df: DataFrame, column: str, name: str, by: list[str] | None = None) -
     return rows.withColumn(name, scaled).drop("__min", "__max")
 
 
-def seq_cap(df: DataFrame, part: list[str], bucket: str, order: list[str], cap: int | None = None,
-            name: str = "sequence") -> DataFrame:
+def seq_cap(df: DataFrame, part: list[str], order: list[str], cap: int | None = None, name: str = "sequence") -> DataFrame:
     """WIN-7: running number per group, at most ``cap`` of each. With a cap Spark drops surplus rows
-    before the shuffle; without one the group is numbered bucket by bucket."""
+    before the shuffle; without one the group is numbered range by range."""
     columns = [F.col(c) for c in order]
     if cap is None:
-        return running_position(df, part, bucket, columns, name)
-    number = F.row_number().over(W.partitionBy(*part).orderBy(bucket, *columns))
+        return running_position(df, part, columns, name)
+    number = F.row_number().over(W.partitionBy(*part).orderBy(*columns))
     return df.withColumn(name, number).where(F.col(name) <= cap)
 
 
