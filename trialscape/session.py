@@ -44,6 +44,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table that has had its last reader, wherever the shared folder lies."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iterative job in reliable storage."""
     checkpoint_root(df.sparkSession)
