@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trialscape.llm import centroids, phrases, queries, urls
+from trialscape.llm import bloom, centroids, phrases, queries, urls
 from trialscape.llm.arrays import flat
 
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -209,10 +209,6 @@ def test_url_filter_without_rows(spark):
 def test_the_filter_lets_few_strangers_through(spark):
     """A filter made for the list passes all listed URLs and about one stranger in a thousand."""
     keys = spark.range(4000).select(F.concat(F.lit("h"), "id", F.lit(".org/")).alias("key"))
-    words = urls.blocked_filter(keys, 256).scalar()
     probes = spark.range(8000).select("id", F.concat(F.lit("h"), "id", F.lit(".org/")).alias("probe"))
-    block, masks = urls._place(F.col("probe"), 256)
-    for w, m in enumerate(masks):
-        probes = probes.where(F.get(words, (block * urls.WORDS + w).cast("int")).bitwiseAND(m) == m)
-    passed = [r.id for r in probes.select("id").collect()]
+    passed = [r.id for r in probes.where(bloom.may_hold(keys, bloom.blocks_for(4000), F.col("probe"))).select("id").collect()]
     assert set(range(4000)) <= set(passed) and len(passed) - 4000 < 40

@@ -351,3 +351,31 @@ def test_an_anchor_keeps_all_its_texts(spark):
     pairs = spark.createDataFrame([(1, 10), (1, 11), (1, 12)], "a BIGINT, b BIGINT")
     found = setsketch.beside_anchor(pairs, rows, "value", lambda column: column.to_pylist(), lambda x, y: x == y)
     assert {(r.a, r.b) for r in found.collect()} == {(1, 10), (1, 11)}
+
+
+def test_texts_just_below_the_threshold(spark, monkeypatch):
+    """Texts of one template, most pairs below the threshold and some above: the same components as brute force, and
+    the rows that get their texts in tiles grow with the texts, not with their pairs."""
+    monkeypatch.setattr(setsketch, "TILE", 40)
+    rng = random.Random(6)
+    rows = []
+    for i in range(160):
+        base = [f"t{k}" for k in range(150)]
+        for k in rng.sample(range(150), 12):  # two texts share about 0.74 of their pairs of words
+            base[k] = f"x{rng.random()}"
+        rows.append((i, " ".join(base)))
+        if i % 20 == 0:  # a true near copy
+            base[rng.randrange(150)] = "copy"
+            rows.append((1000 - i, " ".join(base)))
+    sizes = []
+    kept = setsketch._by_tile
+
+    def counted(tiles, fn, schema):
+        sizes.append(tiles.count())
+        return kept(tiles, fn, schema)
+
+    monkeypatch.setattr(setsketch, "_by_tile", counted)
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    found = {r.doc_id: r.component_id for r in setsketch.near_duplicates(docs, words=2).collect()}
+    assert found == brute_near(rows, 2) and len(set(found.values())) < len(found)
+    assert len(sizes) == 2 and sizes[1] <= sizes[0]

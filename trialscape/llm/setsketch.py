@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialscape.llm.arrays import blobs, flat, mix, runs, word_hashes
+from trialscape.llm.bloom import blocks_for, may_hold
 from trialscape.llm.graph import components
-from trialscape.session import scratch_path
+from trialscape.session import drop_scratch, scratch_path
 
 BANDS, ROWS = 40, 6
 """A pair of similarity 0.8 shares no band with probability (1 - 0.8^6)^40 = 5e-6."""
@@ -22,10 +23,8 @@ LEVELS = 2600
 """Register values are cut to 0..LEVELS + 1; BASE^LEVELS is more than 2^64."""
 MARGIN = 0.12
 """Pairs whose estimate is further below the threshold aren't verified: over four and a half standard deviations."""
-TILE = 1024
-
-ANCHORS, ANCHOR_ROUNDS = 8, 1
-"""Members of a band that all others meet, in so many rounds, before the remaining pairs are looked at."""
+TILE, TILE_ITEMS = 1024, 1 << 21
+"""Members of a block of a tile, and shingles that they have in all: on average, as members are dealt by hash."""
 SHARE = 256
 """Partners, on average, that an anchor's value is sent with."""
 
@@ -144,8 +143,10 @@ def beside_anchor(
     wanted = shared.select("a", "share", F.lit(0).alias("role"), F.col("a").alias("need")).distinct().unionByName(
         shared.select("a", "share", F.lit(1).alias("role"), F.col("b").alias("need"))
     )
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
+    asked = rows.where(may_hold(keys, blocks_for(2 * pairs.count()), F.col("id")))  # others are not shuffled
     dealt = (
-        rows.select(F.col("id").alias("need"), F.col(value).alias("value")).join(wanted, "need")
+        asked.select(F.col("id").alias("need"), F.col(value).alias("value")).join(wanted, "need")
         .select("a", "share", "role", "need", "value")
     )
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -169,50 +170,94 @@ def beside_anchor(
     return dealt.mapInArrow(work, "a bigint, b bigint")
 
 
-def across_components(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components that share a band of ``rows`` (band, own, id, size,
-    sketch) and may be similar enough by their sketches. A band is compared in tiles; a pair comes
-    from the first band that both share, so it comes once, and nothing else leaves a tile."""
-    sizes = rows.groupBy(F.col("band").alias("band2")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
-    rows = rows.join(sizes, F.col("band") == F.col("band2")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "own", "id", "size", "sketch"
-    )
+def _by_tile(rows: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """``fn`` of all rows of each (band, low, high), the first three columns; a tile is held in memory."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "band", "low", "high").sortWithinPartitions("band", "low", "high")
 
-    def tile(group: list[np.ndarray], sketch: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-        band, low, high, block, own, ids, size = group
-        keys = keys_of(sketch)
-        for i in np.flatnonzero(own > own.min()):
-            at = np.flatnonzero((own < own[i]) & ((block != block[i]) | (low[0] == high[0])))
-            at = at[100 * np.minimum(size[at], size[i]) >= percent * np.maximum(size[at], size[i])]
-            first = int(np.argmax(keys[i] == band[0]))
-            at = at[~(keys[at, :first] == keys[i, :first]).any(axis=1)]
-            if len(at):
-                near = likely_similarity(sketch[i], sketch[at], size[i], size[at]) >= percent / 100 - MARGIN
-                yield ids[at[near]], ids[i]
-
     def work(batches):
         held = None
         for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(7)]
-            sketch = flat(batch.column(7))[0].view(np.uint16).reshape(-1, REGISTERS)
+            if not batch.num_rows:
+                continue
             if held is not None:
-                columns, sketch = [np.concatenate(x) for x in zip(held[0], columns)], np.concatenate((held[1], sketch))
-            key = np.stack(columns[:3], axis=1)
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            key = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
             for a, b in zip(cuts, cuts[1:]):
-                yield from out(tile([c[a:b] for c in columns], sketch[a:b]))
-            held = [c[cuts[-1] :] for c in columns], sketch[cuts[-1] :]
+                yield fn(batch.slice(a, b - a))
+            held = batch.slice(cuts[-1])
         if held is not None:
-            yield from out(tile(*held))
+            yield fn(held)
+
+    return rows.mapInArrow(work, schema)
 
-    def out(found):
-        for a, b in found:
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.full(len(a), b))], names=["a", "b"])
 
-    return rows.mapInArrow(work, "a bigint, b bigint")
+def _likely_in_tile(group: pa.RecordBatch, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place of a row, places of its partners): pairs of different components that this tile is the first to hold."""
+    band, low, high, block, own, _, size = (group.column(i).to_numpy() for i in range(7))
+    sketch = flat(group.column(7))[0].view(np.uint16).reshape(-1, REGISTERS)
+    keys = keys_of(sketch)
+    for i in np.flatnonzero(own > own.min()):
+        at = np.flatnonzero((own < own[i]) & ((block != block[i]) | (low[0] == high[0])))
+        at = at[100 * np.minimum(size[at], size[i]) >= percent * np.maximum(size[at], size[i])]
+        first = int(np.argmax(keys[i] == band[0]))
+        at = at[~(keys[at, :first] == keys[i, :first]).any(axis=1)]
+        if len(at):
+            near = likely_similarity(sketch[i], sketch[at], size[i], size[at]) >= percent / 100 - MARGIN
+            if near.any():
+                yield int(i), at[near]
+
+
+def across_components(
+    rows: DataFrame, texts: DataFrame, percent: int, read: Callable[[pa.Array], Iterator], holds: Callable[[object, object], bool]
+) -> DataFrame:
+    """(u, v): links between components of members that share a band of ``rows`` (band, own, id, size, sketch),
+    checked on their ``texts`` (id, text); enough of them that their ends connect all linked components.
+
+    A band is compared in tiles. By the sketches alone a tile first finds the members that have a likely partner in it; only these get
+    their texts, each once a tile, and are compared in the same tiles again. There a pair whose
+    components are connected already is passed over. So the rows moved grow with the members of tiles, however many
+    of their pairs are just below the threshold; a pair belongs to the first band that both share, so it is checked once."""
+    counted = rows.groupBy(F.col("band").alias("band2")).agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("items"))
+    blocks = F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("items") / TILE_ITEMS)).cast("int")
+    sizes = counted.select("band2", blocks.alias("blocks"))
+    rows = rows.join(sizes, F.col("band") == F.col("band2")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "own", "id", "size", "sketch"
+    )
+
+    def with_partner(group):
+        there = np.zeros(group.num_rows, bool)
+        for i, at in _likely_in_tile(group, percent):
+            there[i] = there[at] = True
+        return group.filter(pa.array(there))
+
+    path = scratch_path(rows.sparkSession, "tiles")
+    _by_tile(rows, with_partner, rows.schema.simpleString().removeprefix("struct<").removesuffix(">")).write.parquet(path)
+    tiles = rows.sparkSession.read.parquet(path)
+    asked = texts.where(may_hold(tiles.select(F.col("id").alias("key")), blocks_for(tiles.count()), F.col("id")))
+    full = tiles.join(asked.select(F.col("id").alias("id2"), "text"), F.col("id") == F.col("id2")).drop("id2")
+
+    def verified(group):
+        own, ids = group.column(4).to_numpy(), group.column(5).to_numpy()
+        items, names, left, right = list(read(group.column(8))), {}, [], []
+
+        def name(x):
+            while x in names:
+                x = names[x]
+            return x
+
+        for i, at in _likely_in_tile(group, percent):
+            for j in at.tolist():
+                a, b = name(own[i]), name(own[j])
+                if a != b and holds(items[i], items[j]):
+                    names[max(a, b)] = min(a, b)
+                    left.append(ids[i])
+                    right.append(ids[j])
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["u", "v"])
+
+    return _by_tile(full, verified, "u bigint, v bigint")
 
 
 def near_duplicates(
@@ -229,31 +274,35 @@ def near_duplicates(
     Equal sets are one class, represented by its least id, so copies are never paired. Every class
     is first held against one class, of the least ones of its bands that with most bands in common;
     then, in bands whose members still belong to different components, against the band's least
-    one if that is of another component, then against a few others chosen by hash; all pairs that are then
-    left between components are looked at in the end, in tiles and by the sketches first. So a large
+    one if that is of another component; what is then left between components is compared in tiles, by the sketches first. So a large
     group of near copies costs a few comparisons a member, and no link between components is left out.
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "near-duplicates")
     sketches(docs, words, text, doc_id).write.parquet(f"{folder}/sketches")
-    rows = spark.read.parquet(f"{folder}/sketches")
-    real = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    every = spark.read.parquet(f"{folder}/sketches")
+    every.drop("sketch").write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    taking_part = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     # the least id of a set; equal sets have equal sketches
-    real.groupBy("print_a", "print_b").agg(
+    every.where(taking_part).groupBy("print_a", "print_b").agg(
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")
     ).write.parquet(f"{folder}/classes")
+    drop_scratch(spark, f"{folder}/sketches")
     classes = spark.read.parquet(f"{folder}/classes")
     band_keys(classes).write.parquet(f"{folder}/bands")
     bands = spark.read.parquet(f"{folder}/bands")
     holders = bands.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("band", "a")
     met = bands.join(holders, "band").select("band", "a", F.col("id").alias("b"))
     met.write.parquet(f"{folder}/met")
+    drop_scratch(spark, f"{folder}/bands")
     met = spark.read.parquet(f"{folder}/met")
 
     known = classes.withColumn("value", F.struct("size", "sketch"))
-    # the texts that can be asked for, so that later steps shuffle no others
+    # the texts that can be asked for, so that later steps read few others
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    texts.join(met.select(F.col("b").alias("id")).distinct(), "id", "left_semi").write.parquet(f"{folder}/texts")
+    shared = met.select(F.col("b").alias("key"))
+    texts.where(may_hold(shared, blocks_for(classes.count()), F.col("id"))).write.parquet(f"{folder}/texts")
     full = spark.read.parquet(f"{folder}/texts")
 
     def read_sketch(column):
@@ -270,50 +319,45 @@ def near_duplicates(
         shared = len(np.intersect1d(x, y, assume_unique=True))
         return shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared)
 
+    def sets(column):
+        return shingle_sets(column, words)
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs.write.parquet(f"{folder}/{name}-pairs")
         pairs = spark.read.parquet(f"{folder}/{name}-pairs")
-        return confirmed(beside_anchor(pairs, known, "value", read_sketch, near), name)
-
-    def confirmed(likely: DataFrame, name: str) -> DataFrame:
-        likely.write.parquet(f"{folder}/{name}-likely")
+        beside_anchor(pairs, known, "value", read_sketch, near).write.parquet(f"{folder}/{name}-likely")
         likely = spark.read.parquet(f"{folder}/{name}-likely")
-        beside_anchor(likely, full, "text", lambda column: shingle_sets(column, words), linked).write.parquet(f"{folder}/{name}")
+        beside_anchor(likely, full, "text", sets, linked).write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
+    def still_open(members: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """(band, a, b, own): the members, with their components, of those bands that still have several."""
+        found = components(links)
+        tagged = members.join(found, members["b"] == found["id"], "left").select("band", "a", "b", F.coalesce("component", "b").alias("own"))
+        several = tagged.groupBy(F.col("band").alias("band2")).agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least < most")
+        tagged.join(several, F.col("band") == F.col("band2"), "left_semi").write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
     # of the least members of its bands, the one that a class shares most bands with
     common = met.where("a <> b").groupBy("b", "a").agg(F.count(F.lit(1)).alias("n"))
     links = verified(common.groupBy("b").agg(F.max_by("a", F.struct("n", F.negative("a"))).alias("a")).select("a", "b"), "first")
     # rows of one doc_id in several classes
     doubles = (
-        real.join(classes.select("print_a", "print_b", "id"), ["print_a", "print_b"]).where("doc_id <> id")
+        rows.where(taking_part).join(classes.select("print_a", "print_b", "id"), ["print_a", "print_b"]).where("doc_id <> id")
         .select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     )
-    def open_rows(name: str) -> DataFrame:
-        """(band, b, own): the members, with their components, of bands that still have several."""
-        found = components(links)
-        tagged = met.join(found, met["b"] == found["id"], "left").select("band", "a", "b", F.coalesce("component", "b").alias("own"))
-        tagged.write.parquet(f"{folder}/{name}")
-        tagged = spark.read.parquet(f"{folder}/{name}")
-        several = tagged.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high")
-        return tagged.join(several.select("band"), "band")
-
     # the least members of other components
-    rest = open_rows("open-least")
+    rest = still_open(met, links, "open-least")
+    drop_scratch(spark, f"{folder}/met")
     least = rest.where("a = b").select(F.col("band").alias("band2"), F.col("own").alias("own2"))
     pairs = rest.where("a <> b").join(least, F.col("band") == F.col("band2")).where("own <> own2")
     links = links.unionByName(verified(pairs.select("a", "b").distinct(), "least"))
-
-    for step in range(ANCHOR_ROUNDS):
-        rest = open_rows(f"open-{step}")
-        pick = F.min(F.struct(F.xxhash64("b", F.lit(step)).alias("h"), F.col("b").alias("a"), F.col("own").alias("own2")))
-        anchors = rest.groupBy(F.col("band").alias("band2"), F.pmod(F.xxhash64("b"), F.lit(ANCHORS))).agg(pick.alias("x"))
-        anchors = anchors.select("band2", "x.a", "x.own2")
-        pairs = rest.select("band", "b", "own").join(anchors, (F.col("band") == F.col("band2")) & (F.col("own") != F.col("own2")))
-        links = links.unionByName(verified(pairs.select("a", "b").distinct(), f"anchors-{step}"))
-    rest = open_rows("open").where("a <> b").select("band", "own", F.col("b"))  # the least one has met all others
-    rest = rest.join(classes, F.col("b") == F.col("id")).select("band", "own", "id", "size", "sketch")
-    more = confirmed(across_components(rest, percent), "across")
+    # the least one has met all others
+    rest = still_open(rest.select("band", "a", "b"), links, "open").where("a <> b").select("band", "own", "b")
+    asked = classes.where(may_hold(rest.select(F.col("b").alias("key")), blocks_for(rest.count()), F.col("id")))
+    rest = rest.join(asked, F.col("b") == F.col("id")).select("band", "own", "id", "size", "sketch")
+    across_components(rest, full, percent, sets, linked).write.parquet(f"{folder}/across")
+    more = spark.read.parquet(f"{folder}/across")
     found = components(links.unionByName(more).unionByName(doubles)).select(F.col("id").alias("node"), "component")
     out = rows.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")

@@ -8,14 +8,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORDS = 4
-"""64-bit words of a block; a key sets two bits in each."""
-KEYS = 16
-"""Listed URLs a block is made for: 16 bits each, about one false hit in a thousand."""
-MOST_BLOCKS = 1 << 18
-"""Bound of the filter: 8 MB, made for four million listed URLs. A longer list fills it more densely, so
-that more rows reach the join; the result is the same."""
-
+from trialscape.llm.bloom import blocks_for, may_hold
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that ``df`` doesn't have yet, whatever their case."""
@@ -55,32 +48,6 @@ def _canonical(listed: DataFrame) -> DataFrame:
     )
 
 
-def _place(key: Column, blocks: int) -> tuple[Column, list[Column]]:
-    """The block of a key and the bits that it sets in the block's words."""
-    bits = F.xxhash64(F.lit(1), key)
-    one = F.lit(1).cast("long")
-
-    def bit(n: int) -> Column:
-        return F.call_function("shiftleft", one, F.shiftrightunsigned(bits, 6 * n).bitwiseAND(F.lit(63)).cast("int"))
-
-    return (
-        F.pmod(F.xxhash64(key), F.lit(blocks)),
-        [bit(2 * w).bitwiseOR(bit(2 * w + 1)) for w in range(WORDS)],
-    )
-
-
-def blocked_filter(keys: DataFrame, blocks: int) -> DataFrame:
-    """One row: the words of all blocks as one array. Keys are reduced to blocks before the shuffle, and
-    no more than ``blocks`` rows meet in one task."""
-    block, masks = _place(F.col("key"), blocks)
-    filled = keys.select(block.alias("block"), *[m.alias(f"w{i}") for i, m in enumerate(masks)])
-    filled = filled.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
-    dense = keys.sparkSession.range(blocks).join(filled, F.col("id") == F.col("block"), "left")
-    words = [F.coalesce(f"w{i}", F.lit(0).cast("long")) for i in range(WORDS)]
-    rows = dense.agg(F.array_sort(F.collect_list(F.struct("id", F.array(*words).alias("w")))).alias("rows"))
-    return rows.select(F.flatten(F.transform("rows", lambda r: r["w"])).alias("filter"))
-
-
 def judge_urls(
     pages: DataFrame, listed: DataFrame, url: str = "url", default: str = "allow", blocks: int | None = None
 ) -> DataFrame:
@@ -105,7 +72,7 @@ def judge_urls(
     facts = rules.agg(
         F.count(F.lit(1)).alias("n"), F.max(labels).alias("labels"), F.collect_set(F.char_length("rule_path")).alias("lengths")
     ).first()
-    blocks = blocks or min(MOST_BLOCKS, 1 << max(0, (facts["n"] // KEYS).bit_length()))
+    blocks = blocks or blocks_for(facts["n"])
 
     host, path = host_and_path(F.col(f"`{url}`"))
     dropped = ("host", "path", "rule", "verdict")
@@ -122,10 +89,7 @@ def judge_urls(
         .select("host", "path", "suffix", F.explode(starts).alias("length"))
         .select("host", "path", F.concat("suffix", F.substring("path", F.lit(1), F.col("length"))).alias("probe"))
     )
-    block, masks = _place(F.col("probe"), blocks)
-    words = blocked_filter(rules, blocks).scalar()
-    set_bits = [F.get(words, (block * WORDS + w).cast("int")).bitwiseAND(m) == m for w, m in enumerate(masks)]
-    possible = probes.where(set_bits[0] & set_bits[1] & set_bits[2] & set_bits[3]).distinct()
+    possible = probes.where(may_hold(rules, blocks, F.col("probe"))).distinct()
 
     size = F.struct(F.char_length("key"), F.char_length("rule_host"))
     longest = (
