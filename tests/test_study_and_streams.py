@@ -8,6 +8,7 @@ from trialscape.plans.analysis import analysis_tables
 from trialscape.plans.planning import plan_trials
 from trialscape.sources.sinks import write_jsonl
 from trialscape.streaming import logs
+from trialscape.streaming.levels import Levels
 
 
 def study_logs(spark):
@@ -62,7 +63,7 @@ def test_stream_equals_batch(spark, tmp_path):
     write_jsonl(rows.repartition(3), str(tmp_path / "log"))
     stream = logs.stream_artifact(spark, str(tmp_path / "log"), "responses", files_per_batch=1).select("trialId", "status", "repeatIndex")
     logs.run_to_end(logs.stream_compact(stream, ["trialId"], "repeatIndex", str(tmp_path / "out"), str(tmp_path / "cp")))
-    got = latest(spark.read.parquet(str(tmp_path / "out")).drop("batch"), ["trialId"], "repeatIndex")
+    got = Levels(str(tmp_path / "out"), ["trialId"], "repeatIndex").read(spark)
     want = latest(rows, ["trialId"], "repeatIndex")
     assert sorted(map(tuple, got.select("trialId", "status", "repeatIndex").collect())) == sorted(map(tuple, want.select("trialId", "status", "repeatIndex").collect()))
     tally = logs.stream_status(logs.stream_artifact(spark, str(tmp_path / "log"), "responses", files_per_batch=1), "trialId")

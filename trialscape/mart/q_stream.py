@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from trialscape.functions.scalar import coerce_numeric
@@ -11,6 +12,7 @@ from trialscape.operators import pending
 from trialscape.session import scratch_path
 from trialscape.sources import artifacts, sinks
 from trialscape.streaming import logs
+from trialscape.streaming.levels import Levels
 
 
 def stream_table(spark, sf, name):
@@ -19,6 +21,13 @@ def stream_table(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+def event_stream(spark, sf):
+    """The events as a log of six files, two of them in each micro-batch."""
+    path, events = scratch_path(spark, "events"), m.table(spark, sf, "events")
+    events.repartition(6, "event_id").write.option("maxRecordsPerFile", "0").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "2").parquet(path)
+
+
 def _finish(spark, updates, mode="update"):
     path, checkpoint = scratch_path(spark, "deltas"), scratch_path(spark, "stream")
     logs.run_to_end(logs.write_deltas(updates, path, checkpoint, mode))
@@ -36,12 +45,46 @@ def stream_latest(spark, sf):
 @register("stream_compact", """
 SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY user_id, event_type""")
 def stream_compact(spark, sf):
-    from trialscape.operators.latest import latest
+    path, checkpoint = scratch_path(spark, "levels"), scratch_path(spark, "stream")
+    keys = ["user_id", "event_type"]
+    events = event_stream(spark, sf).select(*keys, "event_id", F.col("event_id").alias("seq"))
+    logs.run_to_end(logs.stream_compact(events, keys, "seq", path, checkpoint, fan=2))
+    return Levels(path, keys, "seq", 2).read(spark).select(*keys, "event_id")
 
-    path, checkpoint = scratch_path(spark, "deltas"), scratch_path(spark, "stream")
-    events = stream_table(spark, sf, "events").select("user_id", "event_type", "event_id")
-    logs.run_to_end(logs.stream_compact(events.withColumn("seq", F.col("event_id")), ["user_id", "event_type"], "seq", path, checkpoint))
-    return latest(spark.read.parquet(path).drop("batch"), ["user_id", "event_type"], "seq").select("user_id", "event_type", "event_id")
+
+@register("stream_latest_expiring", """
+SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1""")
+def stream_latest_expiring(spark, sf):
+    """Three micro-batches; a user is forgotten after a day without events, and read back from the levels."""
+    path, checkpoint = scratch_path(spark, "levels"), scratch_path(spark, "stream")
+    events = event_stream(logs.state_session(spark), sf).select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    updates = logs.stream_latest_expiring(events, ["user_id"], "ts", "ts", "3650 days", 86400)
+    logs.run_to_end(logs.write_levels(updates, Levels(path, ["user_id"], "ts", 2), checkpoint))
+    return Levels(path, ["user_id"], "ts", 2).read(spark).select("user_id", "event_id", "event_type")
+
+
+class _Stopped(Exception):
+    pass
+
+
+@register("stream_once_restart", """
+SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT user_id) AS delivered FROM events GROUP BY event_type""")
+def stream_once_restart(spark, sf):
+    """Each user and kind once, by a query that is stopped after the second batch's output and resumed."""
+    path, checkpoint = scratch_path(spark, "once"), scratch_path(spark, "stream")
+    events = event_stream(spark, sf).select("user_id", "event_type", "event_id")
+
+    def stop(number):
+        if number == 1:
+            raise _Stopped
+
+    try:
+        logs.run_to_end(logs.write_once(events, ["user_id", "event_type"], "event_id", path, checkpoint, before_commit=stop))
+    except StreamingQueryException:
+        logs.run_to_end(logs.write_once(events, ["user_id", "event_type"], "event_id", path, checkpoint))
+    return logs.read_once(spark, path).groupBy("event_type").agg(
+        F.count_distinct("user_id").alias("users"), F.count(F.lit(1)).alias("delivered")
+    )
 
 
 @register("stream_status", """
