@@ -90,7 +90,7 @@ def test_context_windows(spark, step):
     files = [(f"r{r}", i, f"f{i}", "x" * rng.choice([0, 3, 9, 40, 4000])) for r in range(3) for i in range(60)]
     asked = [(f"n{k}", f"r{rng.randrange(3)}", f"f{rng.randrange(60)}", rng.choice([1, 30, 400, 5000]), rng.choice([0.0, 0.3, 0.99])) for k in range(60)] + [("lost", "r0", "none", 9, 0.5)]
     packed = corpus.pack_context(spark.createDataFrame(asked, "instance_id STRING, repo STRING, path STRING, requested_context_tokens INT, position_ratio DOUBLE"),
-                                 spark.createDataFrame(files, "repo STRING, pos LONG, path STRING, source STRING"), step=step)
+                                 spark.createDataFrame(files, "repo STRING, pos LONG, path STRING, source STRING"), bucket=step)
     tokens = {(r, i): max(1, len(s) // 4) for r, i, _, s in files}
     want = set()
     for name, repo, path, budget, ratio in asked[:-1]:

@@ -104,3 +104,17 @@ LANGUAGE_SHORT_NAMES = {
     "rust": "rs",
 }
 HASH_COMMENT_LANGUAGES = ("python", "ruby", "shell", "bash")
+
+# Fields of the detail of one trial, in the order of the contract.
+DETAIL_FIELDS = (
+    "trialId", "experimentId", "taskId", "instanceId", "strategy", "configurationId", "representation", "surface",
+    "repeatIndex", "taskTags", "status", "errorMessage", "response", "timing", "usage", "metricsSummary", "parameters", "metadata",
+)
+
+# Dimensions and files that the manifest of a metrics run names.
+CORE_DIMENSIONS = ("effectiveness", "efficiency", "robustness", "evaluation_reliability", "observability")
+METRIC_OUTPUTS = (
+    "trial_metrics.csv", "aggregate_metrics.csv", "dimension_summary.csv", "failure_cases.csv", "dimensions/effectiveness.csv",
+    "dimensions/efficiency.csv", "dimensions/robustness.csv", "dimensions/evaluation_reliability.csv",
+    "dimensions/observability.csv", "summary.json", "metrics-manifest.json",
+)

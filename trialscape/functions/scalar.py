@@ -140,11 +140,11 @@ def est_tokens(c: Column | str) -> Column:
 # --- time --------------------------------------------------------------------
 
 def duration_ms(started: Column | str, finished: Column | str) -> Column:
-    """Milliseconds between two ISO time stamps, never negative."""
+    """Milliseconds between two ISO time stamps, never negative; null where one is missing or broken."""
     a = F.try_to_timestamp(col(started))
     b = F.try_to_timestamp(col(finished))
     micros = F.unix_micros(b) - F.unix_micros(a)
-    return F.greatest(F.lit(0), F.floor(micros / 1000)).cast("long")
+    return F.when(micros.isNotNull(), F.greatest(F.lit(0), F.floor(micros / 1000)).cast("long"))
 
 
 # --- arrays and maps ---------------------------------------------------------
@@ -153,6 +153,14 @@ def join_tags(c: Column | str, sep: str = "|") -> Column:
     return F.array_join(F.coalesce(col(c), F.array().cast("array<string>")), sep)
 
 
+def sorted_by(c: Column | str, field: str) -> Column:
+    """An array of structs in the order of one field, whatever the types of the others."""
+    def order(a: Column, b: Column) -> Column:
+        return F.when(a[field] < b[field], -1).when(a[field] > b[field], 1).otherwise(0)
+
+    return F.array_sort(col(c), order)
+
+
 def sorted_set(c: Column | str) -> Column:
     return F.array_sort(F.array_distinct(col(c)))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("base", "facts", "study", "ops", "text", "stream")
+AREAS = ("base", "facts", "study", "ops", "text", "stream", "read")
 
 
 def all_queries():

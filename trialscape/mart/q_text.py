@@ -500,9 +500,9 @@ def instances_index(spark, sf):
 
 @register("target_slice", """
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN array_to_string(string_split(text, chr(10))[1:2], chr(10)) WHEN length(text) >= 40 THEN substr(text, 4, 37) ELSE '' END AS target
-FROM documents JOIN labels USING (doc_id) WHERE toxic = 0""")
+FROM documents JOIN labels USING (doc_id)""")
 def target_slice(spark, sf):
-    needles = corpus_needles(spark, sf).where("path != 'nowhere'").select("doc_id", "start_line", "end_line", "start_byte", "end_byte")
+    needles = corpus_needles(spark, sf).select("doc_id", "start_line", "end_line", "start_byte", "end_byte")
     joined = needles.join(corpus_files(spark, sf).select("doc_id", "source"), "doc_id", "inner")
     return joined.select("doc_id", corpus.target_text().alias("target"))
 
@@ -603,9 +603,10 @@ def score_responses(spark, sf):
 
 
 @register("score_dice", """
-SELECT id AS response_id, round(max(shared * 2.0::DOUBLE / (dn + tn)), 9) AS best_score FROM x_scores WHERE id % 13 <> 0 GROUP BY id""")
+SELECT doc_id AS response_id, round(coalesce(s.score, 0), 9) AS best_score FROM documents LEFT JOIN (
+  SELECT id, max(shared * 2.0::DOUBLE / (dn + tn)) AS score FROM x_scores WHERE id % 13 <> 0 GROUP BY id) s ON doc_id = s.id""")
 def score_dice(spark, sf):
-    return rounded(corpus.score_responses(answers(spark, sf), goals(spark, sf)).where("best_target IS NOT NULL").select("response_id", "best_score"), "best_score", digits=9)
+    return rounded(corpus.score_responses(answers(spark, sf), goals(spark, sf)).select("response_id", "best_score"), "best_score", digits=9)
 
 
 @register("needle_repositories", """

@@ -38,14 +38,22 @@ def dup_across(trials: DataFrame, source: str = "experimentDir") -> DataFrame:
     ).where("inputs > 1")
 
 
+def with_config(rows: DataFrame, configurations: DataFrame, name: str = "definition") -> DataFrame:
+    """JON-20: rows with the definition (strategy, representation, surface) that the manifest gives their configuration
+    as a struct ``name``; null where the manifest has none. Rows of several experiments meet the manifest of their own if both
+    sides have ``experimentId``."""
+    keys = [k for k in ("experimentId", "configurationId") if k in rows.columns and k in configurations.columns]
+    d = configurations.select(*keys, F.struct(*TREATMENT[1:]).alias(name)).distinct()
+    return rows.join(d, keys, "left").select(*rows.columns, name)
+
+
 def bad_treatments(rows: DataFrame, configurations: DataFrame) -> DataFrame:
     """VAL-3: rows whose configuration, strategy, representation or surface differs from the
     manifest, at the top level or in ``metadata``."""
-    d = configurations.select("configurationId", *[F.col(c).alias(f"__{c}") for c in TREATMENT[1:]])
-    joined = rows.join(d, "configurationId", "inner")
+    joined = with_config(rows, configurations, "__d").where(F.col("__d").isNotNull())
     wrong = ~F.col("metadata.configurationId").eqNullSafe(F.col("configurationId"))
     for c in TREATMENT[1:]:
-        wrong = wrong | ~F.col(c).eqNullSafe(F.col(f"__{c}")) | ~F.col(f"metadata.{c}").eqNullSafe(F.col(f"__{c}"))
+        wrong = wrong | ~F.col(c).eqNullSafe(F.col(f"__d.{c}")) | ~F.col(f"metadata.{c}").eqNullSafe(F.col(f"__d.{c}"))
     return joined.where(wrong).select("trialId", "configurationId")
 
 

@@ -71,6 +71,21 @@ def merge_votes(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.unionByName(kept.select(*new.columns))
 
 
+def merge_outcomes(evals: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
+    """LST-7: evaluations with the outcome of the merged votes. It is recomputed for the trials that got votes of
+    further judges from the old log and have a vote without an error; others keep their own."""
+    from trialscape.operators.votes import CRITERIA, outcome
+
+    merged = merge_votes(new, old)
+    added = merged.join(new.select("trialId", "judgeId"), ["trialId", "judgeId"], "left_anti").select("trialId").distinct()
+    fresh = outcome(merged.join(added, "trialId", "left_semi"))
+    agreement = {c: F.col(f"{c}_agreement").cast("variant").alias("agreement") for c in CRITERIA}
+    found = F.struct(*[F.struct(F.col(f"{c}_rating").alias("rating"), agreement[c]).alias(c) for c in CRITERIA])
+    again = fresh.select("trialId", found.alias("__outcome"))
+    columns = [F.coalesce("__outcome", "outcome").alias(c) if c == "outcome" else c for c in evals.columns]
+    return evals.join(again, "trialId", "left").select(*columns)
+
+
 def task_meta(trials: DataFrame, seq: str = "seq") -> DataFrame:
     """LST-8: task metadata, taken from the last trial of each task."""
     columns = ["taskStatement", "taskTags", "contextBlocks", "validationType"]

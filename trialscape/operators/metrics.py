@@ -293,8 +293,8 @@ def dimension_summary(facts: DataFrame, gb: list[str]) -> DataFrame:
     return both.select("dimension", key.alias("group_key"), *gb, "metric", "value")
 
 
-def summary(facts: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """AGG-8: one row."""
+def summary(facts: DataFrame, accuracy: int | None = None, gb: list[str] | None = None) -> DataFrame:
+    """AGG-8: one row; with ``gb`` also the groups that pool several configurations, in order."""
     names = [
         "n_trials", "n_responses", "n_evaluated", "primary_metric_name", "primary_success_rate",
         "total_tokens_sum", "duration_sec_median", "evaluation_success_rate", "trace_coverage_rate",
@@ -304,7 +304,12 @@ def summary(facts: DataFrame, accuracy: int | None = None) -> DataFrame:
         F.count_distinct("experimentId").alias("experiments"),
         F.array_sort(F.collect_set("dataset_id")).alias("datasets"),
     )
+    extra = []
+    if gb is not None:
+        listed = F.struct(F.struct(*gb).alias("group"), "configurationIds")
+        extra = [pooled(facts, gb).agg(F.array_sort(F.collect_list(listed)).alias("p")).select("p").scalar().alias("pooledConfigurations")]
     return totals.select(
+        *extra,
         F.lit("2.0").alias("schemaVersion"),
         kinds.select("experiments").scalar().alias("experiments"),
         kinds.select("datasets").scalar().alias("datasets"),

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialscape import fixed
 from trialscape.functions.scalar import first_usable
 
 COLUMN_OF = {
@@ -147,6 +148,27 @@ def trial_detail(responses: DataFrame, evals: DataFrame, votes: DataFrame, trial
     return rows.orderBy("trialId", "part", "__s").select("trialId", "kind", "body")
 
 
+def trial_object(responses: DataFrame, evals: DataFrame, votes: DataFrame, trial_id: str | None = None, seq: str = "seq") -> DataFrame:
+    """FLT-8: one JSON object per trial with a response: its identity, model, tags, status, response, measurements,
+    parameters and metadata, the latest evaluation and all votes in order (null where there are none)."""
+    def part(df: DataFrame) -> DataFrame:
+        return df if trial_id is None else df.where(F.col("trialId") == trial_id)
+
+    def whole(df: DataFrame) -> Column:
+        return F.struct(*[c for c in df.columns if c != seq])
+
+    first = part(responses).groupBy("trialId").agg(F.min_by(F.struct(*responses.columns), F.col(seq)).alias("r"))
+    last = part(evals).groupBy("trialId").agg(F.max_by(whole(evals), F.col(seq)).alias("evaluation"))
+    each = part(votes).groupBy("trialId").agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.to_json(whole(votes)).alias("v")))).alias("v"))
+    given = [c for c in fixed.DETAIL_FIELDS if c in responses.columns]
+    model = F.struct(*[F.col(f"r.{old}").alias(new) for old, new in (("modelId", "id"), ("modelName", "name")) if old in responses.columns])
+    renamed = {"taskTags": "tags", "metricsSummary": "metrics", "repeatIndex": "index"}
+    body = F.struct(*[F.col(f"r.{c}").alias(renamed.get(c, c)) for c in given], model.alias("model"), F.parse_json(F.to_json("evaluation")).alias("evaluation"),
+                    F.transform("v", lambda x: F.parse_json(x["v"])).alias("judgeVotes"))
+    joined = first.join(last, "trialId", "left").join(each, "trialId", "left")
+    return joined.select("trialId", F.to_json(body, {"ignoreNullFields": "false"}).alias("detail"))
+
+
 def successful(df: DataFrame) -> Column:
     """FLT-9: no error message and a status that means success."""
     status = F.lower(F.coalesce(F.col("status"), F.lit("")))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from trialscape.operators import behavior, study
 from trialscape.operators import traces as trace_ops
 from trialscape.operators import votes as vote_ops
 from trialscape.operators.latest import latest, task_meta
 from trialscape.operators.runs import build_runs, explode_tags, flatten_evals, flatten_responses
+from trialscape.sources.sinks import write_tables
 
 ARTICLE_COLUMNS = {
     "configuration": [
@@ -32,6 +34,20 @@ PIVOT_NAMES = {
 }
 
 
+def write_analysis(
+    trials: DataFrame, responses: DataFrame, evals: DataFrame, votes: DataFrame, configurations: list[str], out: str,
+    force: bool = False, fmt: str = "csv", **more,
+) -> list[str]:
+    """SNK-10: all tables of the study below ``out``, one folder each. Nested columns of a CSV table are written as JSON text."""
+    tables = analysis_tables(trials, responses, evals, votes, configurations, **more)
+
+    def flat(df: DataFrame) -> DataFrame:
+        nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("struct", "array", "map", "variant")]
+        return df.withColumns({c: F.to_json(c) for c in nested}) if fmt == "csv" else df
+
+    return write_tables({name: flat(df) for name, df in tables.items()}, out, force, fmt)
+
+
 def analysis_tables(
     trials: DataFrame, responses: DataFrame, evals: DataFrame, votes: DataFrame, configurations: list[str],
     configured_judges: DataFrame | None = None, execution_traces: DataFrame | None = None, eval_traces: DataFrame | None = None,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -9,7 +11,8 @@ from trialscape.operators import checks, metrics
 from trialscape.operators.facts import FACT_COLUMNS, build_trial_facts
 from trialscape.operators.select import Selector, failure_cases, select_eval, select_rows
 from trialscape.sources.artifacts import RunLogs, load_runs, path_exists
-from trialscape.sources.sinks import metrics_manifest, write_csv, write_summary
+from trialscape.sources.manifest import configurations
+from trialscape.sources.sinks import metrics_manifest, run_manifest, write_csv, write_summary
 from trialscape.sources.traces import read_traces, resolve_traces
 
 DEFAULT_GROUP = ["dataset_id", "configurationId"]
@@ -64,9 +67,12 @@ def compute_metrics(spark: SparkSession, dirs: list[str], out: str, gb: list[str
     try:
         for name, table in metric_tables(facts, gb, accuracy).items():
             write_csv(table, f"{out}/{name}.csv", mode=mode)
-        write_summary(metrics.summary(facts, accuracy), f"{out}/summary.json", mode)
-        write_summary(
-            metrics_manifest(logs.trials, logs.responses, logs.evals, logs.votes, logs.manifests), f"{out}/metrics-manifest.json", mode
-        )
+        group = metrics.check_group(gb or DEFAULT_GROUP)
+        write_summary(metrics.summary(facts, accuracy, group), f"{out}/summary.json", mode)
+        inputs = metrics_manifest(logs.trials, logs.responses, logs.evals, logs.votes, logs.manifests)
+        asked = asdict(selector or Selector())
+        chosen = {k: [str(x) for x in v] for k, v in [*asked.items(), *((f"not_{k}", v) for k, v in asked["without"].items())] if v and k != "without"}
+        defined = None if logs.manifests is None else configurations(logs.manifests)
+        write_summary(run_manifest(inputs, group, chosen, configurations=defined), f"{out}/metrics-manifest.json", mode)
     finally:
         facts.unpersist()

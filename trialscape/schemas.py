@@ -99,3 +99,7 @@ REPOSITORY = (
     f"needles: ARRAY<{NEEDLE}>>"
 )
 CORPUS = f"MAP<STRING, ARRAY<{REPOSITORY}>>"
+CORPUS_LINE = (
+    "language STRING, repo_ord INT, repo STRING, content MAP<STRING, STRING>, "
+    f"dependency MAP<STRING, ARRAY<STRING>>, needles ARRAY<{NEEDLE}>"
+)

@@ -63,7 +63,7 @@ def read_contexts(spark: SparkSession, root: str, representation: str, code: boo
     aliases = fixed.CODE_CONTEXT_FILES if code else fixed.CONTEXT_FILES
     name = aliases.get(representation, representation)
     return spark.read.text(f"{root}/context/*/{name}", wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), "/context/([^/]+)/[^/]+$", 1).alias("instanceId"),
+        F.regexp_extract(F.col("_metadata.file_path"), "/context/([^/]+)/", 1).alias("instanceId"),
         F.lit(representation).alias("representation"),
         F.col("value").alias("content"),
     )
@@ -118,6 +118,12 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return explode_corpus(spark.read.text(path, wholetext=True))
 
 
+def read_corpus_lines(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-12 at scale: one repository per line with its ``language`` and ``repo_ord``, which Spark reads in splits
+    (a compressed file is one)."""
+    return spark.read.schema(schemas.CORPUS_LINE).json(path)
+
+
 def corpus_files(repos: DataFrame) -> DataFrame:
     return repos.select("language", "repo_ord", "repo", F.explode("content").alias("path", "source"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 import pandas as pd
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialscape.functions.scalar import col, file_slug, first_usable
+from trialscape import fixed
+from trialscape.functions.scalar import col, file_slug, first_usable, sorted_by
 
 
 @F.pandas_udf(T.StringType())
@@ -121,6 +123,30 @@ def metrics_manifest(
     return table
 
 
+def run_manifest(
+    inputs: DataFrame, group_by: list[str], selectors: dict[str, list[str]] | None = None, command: str = "metrics",
+    configurations: DataFrame | None = None,
+) -> DataFrame:
+    """SNK-5: one row, the manifest of a metrics run: framework, selectors, grouping, the inputs of
+    :func:`metrics_manifest` with the configurations of their manifest, and the files written. Bounded by the number of
+    directories and their configurations."""
+    rows = inputs
+    if configurations is not None:
+        definition = F.struct("strategy", "representation", "surface")
+        entry = F.array_sort(F.collect_list(F.struct("configurationId", definition.alias("d"))))
+        own = configurations.groupBy("experimentDir").agg(F.map_from_entries(entry).alias("configurations"))
+        rows = rows.join(own, "experimentDir", "left")
+    chosen = F.from_json(F.lit(json.dumps(selectors or {})), "map<string,array<string>>")
+    listed = rows.agg(sorted_by(F.collect_list(F.struct(*rows.columns)), "experimentDir").alias("inputs"))
+    return listed.select(
+        F.lit("2.0").alias("schemaVersion"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("generatedAt"),
+        F.lit(command).alias("command"),
+        F.struct(F.lit("HELM").alias("inspiredBy"), F.array(*map(F.lit, fixed.CORE_DIMENSIONS)).alias("coreDimensions")).alias("metricFramework"),
+        chosen.alias("selectors"), F.array(*map(F.lit, group_by)).cast("array<string>").alias("groupBy"),
+        "inputs", F.array(*map(F.lit, fixed.METRIC_OUTPUTS)).alias("outputs"),
+    )
+
+
 def write_split(df: DataFrame, path: str, model: str = "modelId", configuration: str = "configurationId",
                 mode: str = "error") -> None:
     """SNK-6: one folder per model and configuration. Big groups are split into several files
