@@ -8,6 +8,7 @@ import pytest
 from trialscape.operators import checks
 from trialscape.plans.analysis import write_analysis
 from trialscape.sources import artifacts, catalog
+from trialscape.sources.sinks import write_tables
 from trialscape.streaming import logs
 
 from test_study_and_streams import study_logs
@@ -63,7 +64,8 @@ def test_study_as_files(spark, tmp_path):
     row = spark.read.csv(str(tmp_path / "study" / "summary_overall"), header=True).collect()[0]
     assert (row.runs, row.total_cost_tokens_corrected_sum) == ("32", "608")
     with pytest.raises(Exception, match="already exists"):
-        write_analysis(*study_logs(spark), [f"c{i}" for i in range(4)], str(tmp_path / "study"))
+        write_tables({names[0]: spark.range(1)}, str(tmp_path / "study"))
+    write_tables({names[0]: spark.range(1)}, str(tmp_path / "study"), force=True)
 
 
 def test_configurations_of_several_manifests(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from trialscape.operators import traces as trace_ops
 from trialscape.operators import votes as vote_ops
 from trialscape.operators.latest import latest, task_meta
 from trialscape.operators.runs import build_runs, explode_tags, flatten_evals, flatten_responses
+from trialscape.session import scratch_path
 from trialscape.sources.sinks import write_tables
 
 ARTICLE_COLUMNS = {
@@ -38,8 +41,14 @@ def write_analysis(
     trials: DataFrame, responses: DataFrame, evals: DataFrame, votes: DataFrame, configurations: list[str], out: str,
     force: bool = False, fmt: str = "csv", **more,
 ) -> list[str]:
-    """SNK-10: all tables of the study below ``out``, one folder each. Nested columns of a CSV table are written as JSON text."""
-    tables = analysis_tables(trials, responses, evals, votes, configurations, **more)
+    """SNK-10: all tables of the study below ``out``, one folder each. What most of them read is written once before. Nested columns of a CSV table are written as JSON text."""
+    spark, folder = trials.sparkSession, scratch_path(trials.sparkSession, "study")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    tables = analysis_tables(trials, responses, evals, votes, configurations, keep=written, **more)
 
     def flat(df: DataFrame) -> DataFrame:
         nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("struct", "array", "map", "variant")]
@@ -51,20 +60,21 @@ def write_analysis(
 def analysis_tables(
     trials: DataFrame, responses: DataFrame, evals: DataFrame, votes: DataFrame, configurations: list[str],
     configured_judges: DataFrame | None = None, execution_traces: DataFrame | None = None, eval_traces: DataFrame | None = None,
-    seq: str = "seq",
+    seq: str = "seq", keep: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """43 named tables. ``configurations`` is the column order of the pivots. Without traces the trace
-    tables carry nulls."""
-    last_responses = latest(responses, ["trialId"], seq).drop(seq)
-    last_evals = latest(evals, ["trialId"], seq).drop(seq)
+    tables carry nulls. ``keep`` may write the tables that others read and give them back read again."""
+    keep = keep or (lambda df, name: df)
+    last_responses = keep(latest(responses, ["trialId"], seq).drop(seq), "responses")
+    last_evals = keep(latest(evals, ["trialId"], seq).drop(seq), "evals")
     long = vote_ops.votes_long(votes, trials)
-    consensus = vote_ops.vote_consensus(long, vote_ops.expected_judges(configured_judges, votes), seq=seq)
-    runs = build_runs(last_responses, last_evals, votes, consensus, task_meta(trials, seq))
+    consensus = keep(vote_ops.vote_consensus(long, vote_ops.expected_judges(configured_judges, votes), seq=seq), "consensus")
+    runs = keep(build_runs(last_responses, last_evals, votes, consensus, task_meta(trials, seq)), "runs")
     tagged = explode_tags(runs)
     flagged = behavior.behavior_flags(runs)
     flagged_tags = explode_tags(flagged)
     checked = vote_ops.agreement_check(vote_ops.evals_long(flatten_evals(last_evals)), consensus)
-    sums = study.summaries(runs, tagged)
+    sums = keep(study.summaries(runs, tagged), "summaries")
     one = lambda name: study.grouping(sums, name)
     category = one("category_configuration")
     answers, flat_evals = flatten_responses(last_responses), flatten_evals(last_evals)
