@@ -136,35 +136,71 @@ def test_prefixes_take_appends_and_edits():
         assert one.last == two.last == bpe.Prefixes(words, data[:a] + new + data[b:]).last
 
 
-def test_packing(spark, texts):
-    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
-    want = Counter()
-    for i, t, _ in texts:
-        want[i, np.array([*own.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()] += 1
-    rows = packing.pack_documents(table(spark, texts), BPE, public_tokenizers.PATTERN, window=64).collect()
-    by_sequence, lengths = {}, Counter()
+def check_packed(rows, want, window):
+    """Pieces are gapless, every id is in one of them, ids are the wanted ones; the number of sequences that aren't full."""
+    by_sequence, by_doc, lengths = {}, {}, Counter()
     for r in rows:
         assert len(r.ids) == 4 * r.length and r.length > 0
         by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        by_doc.setdefault(r.doc_id, []).append(r)
         lengths[r.sequence_id] += r.length
     for parts in by_sequence.values():
         place = 0
         for offset, length in sorted(parts):
             assert offset == place
             place += length
-        assert place <= 64
-    assert sum(n < 64 for n in lengths.values()) <= 1
-    single = [i for i, n in Counter(i for i, _, _ in texts).items() if n == 1 and i is not None]
+        assert place <= window
+    single = [i for i, n in Counter(i for (i, _), n in want.items() for _ in range(n)).items() if n == 1 and i is not None]
     for i in single:
-        parts = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        parts = sorted(by_doc[i], key=lambda r: r.start)
         assert [r.start for r in parts] == np.cumsum([0, *[r.length for r in parts]])[:-1].tolist()
         whole = b"".join(bytes(r.ids) for r in parts)
         assert (i, whole) in want and {r.doc_tokens for r in parts} == {len(whole) // 4}
     assert sum(lengths.values()) == sum(len(x) // 4 * n for (_, x), n in want.items())
+    return sum(n < window for n in lengths.values())
+
+
+def test_packing(spark, texts):
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    marked = [(900, "a <|endoftext|> b<|endoftext|><|endoftext|>", "en"), (901, "<|endoftext|>", None), (902, "<|endoftext|", "en")]
+    for special in (packing.ADDED, None):
+        own.encode_special_tokens = special is None
+        want = Counter()
+        for i, t, _ in texts + marked:
+            want[i, np.array([*own.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()] += 1
+        docs = table(spark, texts + marked)
+        rows = packing.pack_documents(docs, BPE, public_tokenizers.PATTERN, window=64, special=special).collect()
+        assert check_packed(rows, want, 64) <= 1
     assert packing.pack_documents(table(spark, texts).where("false"), BPE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_packing_over_many_shards(spark, texts, monkeypatch):
+    """Of the close pairs that share a window with one shard, far more than one in eight do so with eight; copies fill no shard."""
+    rng = np.random.default_rng(2)
+    words = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(3000)])
+    chance = 1 / np.arange(1, 3001)
+    chance /= chance.sum()
+    made = []
+    for pair in range(300):
+        base = rng.choice(words, 60, p=chance)
+        for copy in range(2):
+            own = rng.choice(words, 60, p=chance)
+            made.append((2 * pair + copy, " ".join(np.where(rng.random(60) < 0.85, base, own)), None))
+    made += [(1000 + i, "the same text again and again", None) for i in range(300)]
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter((i, np.array([*own.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, t, _ in made)
+    total, shared = sum(len(x) // 4 * n for (_, x), n in want.items()), []
+    for shards in (1, 8):
+        monkeypatch.setattr(packing, "SHARD_IDS", total // shards)
+        rows = packing.pack_documents(table(spark, made), BPE, public_tokenizers.PATTERN, window=512).collect()
+        assert check_packed(rows, want, 512) <= 2 * shards
+        at = {}
+        for r in rows:
+            at.setdefault(r.doc_id, set()).add(r.sequence_id)
+        shared.append(sum(bool(at[2 * p] & at[2 * p + 1]) for p in range(300)))
+    assert shared[1] >= 0.5 * shared[0]
+
+
 def test_neighbours_are_those_of_plain_bm25():
     docs = [[1, 2, 3, 9], [1, 2, 2, 8], [4, 5, 9], [5, 4, 4, 3], [7]]
     ids, at = np.concatenate(docs).astype(np.uint32), np.cumsum([0, *map(len, docs)])
