@@ -40,7 +40,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 1024 ids."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return packing.pack_documents(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    return packing.pack_documents(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, special=packing.ADDED)
 
 
 STAGES = [
