@@ -194,6 +194,11 @@ def variant_kind(v: Column, path: str) -> Column:
     return F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, path, "variant")), r"^[A-Z]+", 0)
 
 
+def variant_object(v: Column, path: str = "$") -> Column:
+    """An object at a path as MAP<STRING, VARIANT>, without a look below its keys; other types give null."""
+    return F.try_variant_get(v, path, "map<string,variant>")
+
+
 def variant_number(v: Column, path: str) -> Column:
     """A number at a path; booleans and strings are no numbers."""
     return F.when(

@@ -582,7 +582,7 @@ cte("x_activation", activation_sql("taskId", _BY_TASK))
 
 def by_task(spark, sf):
     entities = trace_ops.without_inline(m.trials(spark, sf)).select("trialId", "taskId", "modelId", "configurationId")
-    return trace_ops.tool_activation(trace_ops.tool_events(m.traces(spark, sf)), entities, "taskId")
+    return trace_ops.tool_activation(trace_ops.tool_names(m.traces(spark, sf)), entities, "taskId")
 
 
 register("tool_activation", "SELECT * FROM x_activation")(by_task)
@@ -593,7 +593,7 @@ def tool_activation_tag(spark, sf):
     t = trace_ops.without_inline(m.trials(spark, sf))
     tagged = t.select("trialId", "modelId", "configurationId", F.explode_outer(F.when(F.size("taskTags") > 0, F.col("taskTags"))).alias("category"))
     entities = tagged.withColumn("category", F.coalesce("category", F.lit("uncategorized")))
-    return trace_ops.tool_activation(trace_ops.tool_events(m.traces(spark, sf)), entities, "category")
+    return trace_ops.tool_activation(trace_ops.tool_names(m.traces(spark, sf)), entities, "category")
 
 
 @register("top_k_tools", """
@@ -614,10 +614,10 @@ def top_k_cell(spark, sf):
 
 
 cte("x_features", """
-SELECT trialId, k, true AS trace_query_exists, coalesce(k % 3 <> 1 AND k % 11 = 0, false) AS trace_query_error_present,
-  CASE WHEN k % 3 = 1 THEN 0 WHEN k % 6 = 0 THEN 4 WHEN k % 3 = 0 THEN 1 ELSE 0 END AS trace_native_mcp_visible_count,
-  k % 3 = 0 AS trace_native_mcp_has_visible_calls, CASE WHEN k % 3 <> 1 AND k % 7 < 3 THEN 1 ELSE 0 END AS trace_server_mcp_count,
-  CASE WHEN k % 3 <> 1 AND k % 2 = 0 THEN 2 ELSE 0 END AS trace_tool_call_count FROM x_calls""")
+SELECT CAST(k AS VARCHAR) AS trialId, k, b AS trace_query_exists, b AND k % 3 <> 1 AND k % 11 = 0 AS trace_query_error_present,
+  CASE WHEN NOT b OR k % 3 = 1 THEN 0 WHEN k % 6 = 0 THEN 4 WHEN k % 3 = 0 THEN 1 ELSE 0 END AS trace_native_mcp_visible_count,
+  b AND k % 3 = 0 AS trace_native_mcp_has_visible_calls, CASE WHEN b AND k % 3 <> 1 AND k % 7 < 3 THEN 1 ELSE 0 END AS trace_server_mcp_count,
+  CASE WHEN b AND k % 3 <> 1 AND k % 2 = 0 THEN 2 ELSE 0 END AS trace_tool_call_count FROM (SELECT o_orderkey AS k, o_orderkey % 5 <> 0 AS b FROM orders)""")
 
 
 @register("trace_features", "SELECT * EXCLUDE (k) FROM x_features")

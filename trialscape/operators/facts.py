@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trialscape import fixed
 from trialscape.functions.scalar import (
-    join_tags, lookup, seconds, sum_non_null, truncate, variant_array, variant_bool01, variant_kind,
+    join_tags, lookup, seconds, sum_non_null, truncate, variant_array, variant_bool01, variant_object,
 )
 from trialscape.operators.latest import latest
 from trialscape.operators.votes import has_error
@@ -85,15 +85,13 @@ def trace_flags(traces: DataFrame, nested: bool = True) -> DataFrame:
         | F.coalesce(F.try_variant_get(e, "$.name", "string").isin(*calls), F.lit(False)),
     )
     some = lambda path: F.coalesce(F.size(variant_array(t, path)) > 0, F.lit(False))
-    native = F.try_variant_get(t, "$.nativeMcp", "variant")
     error = F.to_json(F.try_variant_get(t, "$.error", "variant"))
-    objects = traces.where(F.startswith(F.schema_of_variant(body), F.lit("OBJECT")))
+    objects = traces.where(variant_object(body).isNotNull())
     return objects.select("trialId", payload(body, nested).alias("__t")).select(
         "trialId",
         F.lit(True).alias("__trace"),
         (some("$.toolCalls") | called).alias("__tool"),
-        F.coalesce((variant_kind(t, "$.nativeMcp") == "OBJECT") & (F.to_json(native) != "{}"), F.lit(False))
-        .alias("__native"),
+        F.coalesce(F.size(variant_object(t, "$.nativeMcp")) > 0, F.lit(False)).alias("__native"),
         some("$.serverMcp").alias("__server"),
         F.coalesce(~error.isin('""', "0", "0.0", "false", "{}", "[]", "null"), F.lit(False)).alias("__error"),
     )
@@ -132,7 +130,7 @@ def build_trial_facts(
         joined = joined.withColumn("__eval_trace", F.lit(None).cast("boolean"))
     else:
         joined = joined.join(
-            eval_traces.where(F.startswith(F.schema_of_variant("body"), F.lit("OBJECT"))).select(
+            eval_traces.where(variant_object(F.col("body")).isNotNull()).select(
                 "trialId", F.lit(True).alias("__eval_trace")
             ), "trialId", "left",
         )

@@ -58,18 +58,45 @@ def calls_of(trace: Column) -> Column:
     return F.filter(parts, lambda c: F.coalesce(F.length(c["tool_name"]), F.lit(0)) > 0)
 
 
-def tool_events(traces: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """RSH-5, SET-5, WIN-6: one row per distinct call of a trace with its 1-based position. Calls are
-    compared as JSON text, which Spark makes distinct by hash and not by pairs."""
-    columns = keep or ["trialId"]
-    texts = F.array_distinct(F.transform(calls_of(F.col("__t")), lambda c: F.to_json(c)))
+def _distinct_calls(traces: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` with ``__c``, the distinct calls of a trace as text: the name behind its length, then the rest as
+    JSON. Spark makes texts distinct by hash and not by pairs; the name is cut off without parsing."""
+    rest = lambda c: F.to_json(F.struct(c["tool_source"], c["arguments"]))
+    text = lambda c: F.concat(F.length(c["tool_name"]).cast("string"), F.lit(":"), c["tool_name"], rest(c))
     return (
         traces.where(F.col("body").isNotNull())
         .select(*columns, payload(F.col("body")).alias("__t"))
-        .select(*columns, texts.alias("__c"))
+        .select(*columns, F.array_distinct(F.transform(calls_of(F.col("__t")), text)).alias("__c"))
+    )
+
+
+def _cut_name() -> tuple[Column, Column]:
+    """The name of a call's text and what follows it."""
+    c, length = F.col("__c"), F.substring_index("__c", ":", 1)
+    first = F.length(length) + 2
+    return F.substring(c, first, length.cast("int")), F.substring(c, first + length.cast("int"), F.length(c))
+
+
+def tool_events(traces: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """RSH-5, SET-5, WIN-6: one row per distinct call of a trace with its 1-based position."""
+    columns = keep or ["trialId"]
+    name, rest = _cut_name()
+    return (
+        _distinct_calls(traces, columns)
         .select(*columns, F.posexplode("__c").alias("call_index", "__c"))
-        .select(*columns, (F.col("call_index") + 1).cast("long").alias("call_index"), F.from_json("__c", _CALL).alias("__c"))
-        .select(*columns, "call_index", "__c.*")
+        .select(
+            *columns, (F.col("call_index") + 1).cast("long").alias("call_index"), name.alias("tool_name"),
+            F.from_json(rest, "tool_source string, arguments string").alias("__c"),
+        )
+        .select(*columns, "call_index", "tool_name", "__c.*")
+    )
+
+
+def tool_names(traces: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The names of :func:`tool_events` alone, for counting: arguments only tell calls apart."""
+    columns = keep or ["trialId"]
+    return _distinct_calls(traces, columns).select(*columns, F.explode("__c").alias("__c")).select(
+        *columns, _cut_name()[0].alias("tool_name")
     )
 
 
@@ -88,8 +115,10 @@ def tool_activation(events: DataFrame, entities: DataFrame, entity: str) -> Data
     the share of all trials of the cell."""
     cell = [entity, "modelId", "configurationId"]
     runs = entities.groupBy(*cell).agg(F.count_distinct("trialId").alias("total_runs"))
-    used = events_by_entity(events, entities, entity).groupBy(*cell, "tool_name").agg(
-        F.count_distinct("trialId").alias("runs_with_tool"), F.count("tool_name").alias("tool_calls")
+    # a trial's calls are counted before they meet its entities, so a trial is once in a cell
+    counted = events.groupBy("trialId", "tool_name").agg(F.count("tool_name").alias("calls"))
+    used = events_by_entity(counted, entities, entity).groupBy(*cell, "tool_name").agg(
+        F.count(F.lit(1)).alias("runs_with_tool"), F.sum("calls").alias("tool_calls")
     )
     return used.join(runs, cell, "left").withColumns(
         {
