@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialscape.llm import langid, lines, packing, pii, setsketch
@@ -14,16 +14,28 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
+def _aside(docs: DataFrame, *used: str) -> DataFrame:
+    """``used`` columns and the others in one, so that no operator's column replaces them."""
+    return docs.select(*used, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in used]).alias("others"))
+
+
+def _restored(docs: DataFrame, columns: list[str], **own: Column) -> DataFrame:
+    """The ``columns`` of documents: those named in ``own`` from there, the others from aside."""
+    return docs.select(*[own[c].alias(c) if c in own else F.col(f"others.`{c}`").alias(c) for c in columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (no text, no letter) go; a missing label is filled in."""
-    known = langid.identify_languages(docs.withColumn("__lang", F.col("lang")), docs.select("text", "lang"))
-    kept = known.where(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.coalesce("__lang", "lang_pred"))
-    return kept.select(*docs.columns)
+    """Documents without a recognisable language (no text, no letter) go; a missing label is filled in. Other columns,
+    also those named like a prediction, are untouched; rows that repeat each other are judged alike."""
+    known = langid.identify_languages(_aside(docs, "text"), docs.select("text", "lang")).where(F.col("lang_pred") != langid.UNKNOWN)
+    return _restored(known, docs.columns, text=F.col("text"), lang=F.coalesce("others.lang", "lang_pred"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that several documents share stay in the first; documents stay, even if nothing is left of them."""
-    return _measured(lines.dedup_lines(docs)).select(*docs.columns)
+    """Lines that several documents share stay in the first; documents stay, even if nothing is left of them. Other
+    columns, also those named like a count of lines, are untouched."""
+    found = lines.dedup_lines(_aside(docs, "doc_id", "text"))
+    return _measured(_restored(found, docs.columns, doc_id=F.col("doc_id"), text=F.col("text")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
