@@ -143,3 +143,15 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
         assert own.decode(ids[:-1].tolist()) == text and ids[-1] == 0
     empty = docs.where(F.lit(False))
     assert [stage(spark, empty, str(tmp_path)).count() for _, stage in corpus_pipeline.STAGES] == [0] * 5
+
+
+def test_stages_keep_columns_named_like_their_own(spark):
+    names = ["score", "lang_pred", "__lang", "n_lines", "n_dropped", "others", "__goes"]
+    texts = ["The first line here\nand a second one", "the first line here\nsomething else", None, "12 34"]
+    rows = [(i, t, "en", *["mine"] * len(names)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id BIGINT", "text STRING", "lang STRING", *[f"{n} STRING" for n in names]]))
+    kept = corpus_pipeline.language(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == rows[:2]
+    found = corpus_pipeline.line_dedup(spark, docs, "")
+    want = [rows[0], (1, "something else", *rows[1][2:]), (2, "", *rows[2][2:]), rows[3]]
+    assert found.columns == docs.columns and sorted(tuple(r) for r in found.collect()) == want
