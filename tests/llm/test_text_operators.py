@@ -259,6 +259,30 @@ def test_languages_held_out(spark, texts):
     assert langid.identify_languages(rows.where("false"), docs).count() == 0
 
 
+def test_language_sample(spark, monkeypatch):
+    """Copies count once, a label that has long texts only is learnt, and winners are those of least hash in any slicing."""
+    rows = [(i, f"the cat number {i} sat", "en", "x", "x", "x", "x") for i in range(50)]
+    rows += [(100 + i, "le chat " * 9, "fr", "x", "x", "x", "x") for i in range(40)]
+    rows += [(200 + i, f"satz{i} die katze sitzt dort " * 2000, "de", "x", "x", "x", "x") for i in range(3)]
+    rows += [(300, None, "en", "x", "x", "x", "x"), (301, "1 2", "xx", "x", "x", "x", "x"), (302, "ein wort", None, "x", "x", "x", "x"), (303, "", "und", "x", "x", "x", "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 8)
+    sample = langid.labelled_sample(docs.select("text", "lang"))
+    assert Counter(r.lang for r in sample) == {"en": 8, "fr": 1, "de": 3}
+    assert all(0 < len(r.text) <= langid.SAMPLE_CHARS for r in sample) and max(len(r.text) for r in sample) == langid.SAMPLE_CHARS
+    least = docs.where("lang = 'en' AND text IS NOT NULL").orderBy(F.xxhash64("text")).limit(8).collect()
+    assert {r.text for r in sample if r.lang == "en"} == {r.text for r in least}
+    found = {r.doc_id: r.lang_pred for r in langid.identify_languages(docs).collect()}
+    assert found[302] in ("de", "en", "fr") and {found[200], found[201], found[202]} == {"de"} and found[303] == "und"
+    assert langid.labelled_sample(docs.where("false").select("text", "lang")) == []
+
+
+def test_languages_tie_to_the_first_in_the_alphabet(spark):
+    """Two languages with the same texts cannot be told apart by what they say."""
+    none = langid.Model(["aa", "bb"], langid.Features([np.array([], np.uint64)] * 2), np.zeros((langid.BUCKETS + 2, 2), np.float32), np.zeros((2, 2)))
+    assert none.predict(pa.array(["word after word"], pa.string()))[0] == ["aa"]
+
+
 def test_lattice_sums_all_segmentations():
     pieces = {lattice.MARK: -2.0, lattice.MARK + "a": -1.5, "a": -2.5, "b": -3.0, "ab": -2.2, "ba": -4.0}
     model = lattice.Lattice(pieces, [-6.0] * 256, -1.0)

@@ -155,3 +155,12 @@ def test_stages_keep_columns_named_like_their_own(spark):
     found = corpus_pipeline.line_dedup(spark, docs, "")
     want = [rows[0], (1, "something else", *rows[1][2:]), (2, "", *rows[2][2:]), rows[3]]
     assert found.columns == docs.columns and sorted(tuple(r) for r in found.collect()) == want
+
+
+def test_language_stage_rejects_by_score(spark, monkeypatch):
+    rows = [(0, "the word of the text is here", "en"), (1, "le mot de la phrase est ici", "fr"), (2, "the end", None), (2, "the end", None), (None, "the end", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    kept = corpus_pipeline.language(spark, docs, "").collect()
+    assert len(kept) == 5 and all(r.lang in ("en", "fr") for r in kept) and len({r.lang for r in kept if r.doc_id == 2}) == 1
+    monkeypatch.setattr(corpus_pipeline, "LEAST_SCORE", 1.01)
+    assert corpus_pipeline.language(spark, docs, "").count() == 0

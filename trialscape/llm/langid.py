@@ -6,14 +6,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialscape.llm.arrays import _LOWER, add_columns, flat, mix, runs, span_hashes, word_spans
 
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 20_000
-"""Labelled texts per language, and their greatest length, that the model is fitted on."""
+"""Different labelled texts per language that the model is fitted on, and the code points taken of each."""
+SLICES = 64
+"""Parts, by hash, in which a language's texts are ranked before the whole."""
 BUCKETS = 1 << 17
 STRETCH, STRETCHES, SEQUENCES = 10, 4, 6000
 """Training sequences: so many stretches of so many words, each stretch in one language."""
@@ -222,14 +224,43 @@ def train(texts: list[str], langs: list[str], rounds: int = 3, seed: int = 7) ->
     return Model(labels, features, weights.astype(np.float32), change)
 
 
+def labelled_sample(texts: DataFrame) -> list[Row]:
+    """Rows (lang, print, text): per language the ``SAMPLE_ROWS`` different texts of least hash among those with a label
+    other than ``und`` and a letter; of a longer text a stretch of ``SAMPLE_CHARS`` code points, whose place
+    its hash draws.
+
+    Equal texts count once. Only hashes are ranked, in slices first, so that a task of the second ranking sees at most
+    ``SLICES * SAMPLE_ROWS`` of them; then the texts of the winners are fetched. The driver holds ``SAMPLE_ROWS``
+    texts a label: a table with 1,000 labels gives at most 400,000 stretches.
+    """
+    marked = texts.where(
+        F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").rlike(r"\p{L}")
+    ).withColumn("print", F.xxhash64("text"))
+    order = F.col("print")
+    in_slice = F.row_number().over(W.partitionBy("lang", F.pmod("print", F.lit(SLICES))).orderBy(order))
+    in_all = F.row_number().over(W.partitionBy("lang").orderBy(order))
+    least = (
+        marked.select("lang", "print").distinct()
+        .withColumn("rank", in_slice).where(F.col("rank") <= SAMPLE_ROWS)
+        .withColumn("rank", in_all).where(F.col("rank") <= SAMPLE_ROWS)
+        .select("lang", "print").toArrow()
+    )
+    if not least.num_rows:
+        return []
+    beyond = F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0))
+    begin = F.pmod(F.xxhash64(F.col("print")), beyond + 1).cast("int") + 1
+    fetched = marked.join(F.broadcast(texts.sparkSession.createDataFrame(least)), ["lang", "print"], "left_semi")
+    stretch = F.substring("text", begin, SAMPLE_CHARS).alias("text")
+    return fetched.select("lang", "print", stretch).distinct().orderBy("lang", "print", "text").collect()
+
+
 def identify_languages(
     docs: DataFrame, learn_from: DataFrame | None = None, text: str = "text", lang: str = "lang"
 ) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1).
 
-    The model is fitted on a bounded sample of ``learn_from`` (by default ``docs``): per language
-    the ``SAMPLE_ROWS`` texts of least hash among those with a label, a letter and at most
-    ``SAMPLE_CHARS`` code points. Each word's label gets its chance in the chain of all words of
+    The model is fitted on a bounded sample of ``learn_from`` (by default ``docs``), see :func:`labelled_sample`.
+    Each word's label gets its chance in the chain of all words of
     the whole text; the text's language has the greatest mean chance, which is the score (ties:
     the first in alphabetical order). Nothing but ``text`` enters a prediction.
 
@@ -239,12 +270,7 @@ def identify_languages(
     """
     spark = docs.sparkSession
     learn_from = docs if learn_from is None else learn_from
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    sample = (
-        learn_from.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
-        .where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").rlike(r"\p{L}") & (F.char_length("text") <= SAMPLE_CHARS))
-        .withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS).orderBy("lang", "rank").collect()
-    )
+    sample = labelled_sample(learn_from.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")))
     model = spark.sparkContext.broadcast(train([r["text"] for r in sample], [r["lang"] for r in sample]) if sample else None)
 
     def fn(column: pa.Array) -> list[pa.Array]:
