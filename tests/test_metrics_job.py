@@ -8,6 +8,7 @@ from trialscape.plans.metrics import compute_metrics, run_facts, traces_of
 from trialscape.operators import checks, metrics
 from trialscape.operators.select import Selector, failure_cases, select_rows
 from trialscape.sources.artifacts import load_runs, read_artifact
+from trialscape.sources.manifest import configurations
 
 TREATMENT = {"configurationId": "c1", "strategy": "local_mcp", "representation": "json", "surface": "ops"}
 
@@ -109,6 +110,34 @@ def test_contract_is_refused(spark, tmp_path):
         checks.refuse(checks.contract_violations(logs.trials, logs.responses, logs.evals, logs.manifests))
 
 
+def test_violations_agree_with_the_single_checks(spark, tmp_path):
+    other = {**TREATMENT, "surface": "web"}
+    a = make_run(tmp_path / "a", [
+        trial("t1"), trial("t1", **other), trial("t2", metadata={}), trial("t3", taskTags=["x|y", "z"]), trial("t4", question="old"),
+        trial(""), trial("", **other), trial(None), trial("t5", configurationId="c9"), trial("t6"), trial("t7", taskTags=None), trial("t8", taskTags=[])],
+        [{**trial("t1"), "status": "success", "timing": {}}, trial("t6"), {**trial("t7", answer="a"), "status": "error"}, {**trial("t9"), "timing": {}}],
+        [judged("t6", strategy=None), judged("t8"), judged("t8")])
+    b = make_run(tmp_path / "b", [trial("t3"), trial("t6"), trial("t6"), trial("t10")], evals=[judged("t2", question="kept")])
+    logs = load_runs(spark, [a, b])
+    found = checks.contract_violations(logs.trials, logs.responses, logs.evals, logs.manifests)
+    rows = [(r.rule, r.key) for r in found.collect()]
+    definitions = configurations(logs.manifests)
+    every = logs.trials.select("trialId", "metadata", *checks.TREATMENT)
+    for df in (logs.responses, logs.evals):
+        every = every.unionByName(df.select(*every.columns))
+    one = definitions.dropDuplicates(["configurationId"])
+    single = {
+        "duplicate_in_log": checks.dup_within(logs.trials), "duplicate_across_inputs": checks.dup_across(logs.trials),
+        "unknown_configuration": checks.unknown_config(every, definitions), "treatment_differs": checks.bad_treatments(every, one),
+        "treatment_conflict": checks.treatment_conflicts(every), "pipe_in_tag": checks.bad_tags(logs.trials),
+        "legacy_column": checks.legacy_rows(logs.trials).unionByName(checks.legacy_rows(logs.responses)), "not_a_response": checks.not_responses(logs.responses),
+    }
+    want = {(rule, r.trialId) for rule, df in single.items() for r in df.select("trialId").collect()}
+    assert set(rows) == want and {rule for rule, _ in want} == set(single)
+    trials_only = ("duplicate_across_inputs", "treatment_conflict")
+    assert all(rows.count(x) == 1 for x in rows if x[0] in trials_only)
+
+
 def test_broken_line_fails_the_job(spark, tmp_path):
     run = make_run(tmp_path / "a", [trial("t1")])
     with open(tmp_path / "a/trials.jsonl", "a") as out:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialscape import fixed
@@ -142,27 +143,78 @@ def hash_mismatch(files: DataFrame, content: str = "content", expected: str = "e
     return files.withColumn("actual", actual).where(~F.col("actual").eqNullSafe(sha256_normal(expected)))
 
 
+#: Rules on single rows, as bits of a group's set.
+_METADATA, _TAG, _LEGACY, _NO_RESPONSE = 1, 2, 4, 8
+
+
+def _marked(df: DataFrame, log: str) -> DataFrame:
+    """Narrow rows of a log: id, directory, treatment, a tag list with a pipe, and the bits of the broken rules."""
+    differs = reduce(lambda a, b: a | b, [~F.col(f"metadata.{c}").eqNullSafe(F.col(c)) for c in TREATMENT])
+    tagged, legacy, empty = F.lit(False), F.lit(False), F.lit(False)
+    if log == "trials":
+        tagged = F.coalesce(F.exists("taskTags", lambda t: F.contains(t, F.lit("|"))), F.lit(False))
+    if log != "evals":
+        legacy = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in fixed.LEGACY_COLUMNS if c in df.columns], legacy)
+    if log == "responses":
+        empty = F.col("status").isNull() & F.col("timing").isNull()
+    bits = ((differs, _METADATA), (tagged, _TAG), (legacy, _LEGACY), (empty, _NO_RESPONSE))
+    return df.select(
+        "trialId", "experimentDir", *TREATMENT,
+        F.when(tagged, F.array_join("taskTags", ",") if log == "trials" else F.lit("")).alias("tags"),
+        F.lit(int(log == "trials")).alias("planned"),
+        reduce(lambda a, b: a.bitwiseOR(b), [F.when(c, bit).otherwise(0) for c, bit in bits]).alias("bits"),
+    )
+
+
 def contract_violations(trials: DataFrame, responses: DataFrame, evals: DataFrame, manifests: DataFrame) -> DataFrame:
-    """VAL-1..8 over loaded logs as one table (rule, key, detail)."""
+    """VAL-1..8 over loaded logs as one table (rule, key, detail): a row for each trial, directory and treatment that
+    breaks a rule on rows, one for each trial that breaks a rule on trials.
+
+    Each log is read once. Rows become the set of their broken rules, merged by ``bit_or`` with the treatments and directories of a trial; what is
+    left, a row for each different treatment in a directory, meets the manifests' definitions, and the
+    rules on several rows of a trial are windows over it."""
     from trialscape.sources.manifest import configurations
 
     definitions = configurations(manifests)
-    treated = [df.select("trialId", "metadata", *TREATMENT) for df in (trials, responses, evals)]
-    all_rows = reduce(DataFrame.unionByName, treated)
-    one = definitions.groupBy("configurationId").agg(*[F.min(c).alias(c) for c in TREATMENT[1:]])
-    parts = [
+    one = definitions.groupBy("configurationId").agg(*[F.min(c).alias(f"__{c}") for c in TREATMENT[1:]], F.lit(True).alias("__known"))
+    rows = reduce(DataFrame.unionByName, [_marked(df, log) for df, log in ((trials, "trials"), (responses, "responses"), (evals, "evals"))])
+    groups = rows.groupBy("trialId", "experimentDir", *TREATMENT, "tags").agg(
+        F.bit_or("bits").alias("bits"), F.sum("planned").alias("planned"))
+    trial, place = W.partitionBy("trialId"), W.partitionBy("trialId", "experimentDir")
+    treatment, planned_in = F.struct(*TREATMENT), F.when(F.col("planned") > 0, F.col("experimentDir"))
+    seen = (
+        groups.join(one, "configurationId", "left")
+        .withColumn("several", F.min(treatment).over(trial) != F.max(treatment).over(trial))
+        .withColumn("first", F.min(planned_in).over(trial))
+        .withColumn("last", F.max(planned_in).over(trial))
+        .withColumn("copies", F.sum("planned").over(place))
+        .withColumn("in_place", F.row_number().over(place.orderBy(*TREATMENT, "tags")) == 1)
+        .withColumn("in_trial", F.row_number().over(trial.orderBy("experimentDir", *TREATMENT, "tags")) == 1)
+    )
+    known = F.col("__known").isNotNull()
+    strange = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"__{c}")) for c in TREATMENT[1:]])
+    named = F.length("trialId") > 0
+
+    def has(bit: int) -> Column:
+        return F.col("bits").bitwiseAND(bit) > 0
+
+    rules = [
+        ("duplicate_in_log", named & F.col("in_place") & (F.col("copies") > 1), F.col("experimentDir")),
+        ("duplicate_across_inputs", named & F.col("in_trial") & (F.col("first") != F.col("last")), F.concat_ws(" and ", "first", "last")),
+        ("unknown_configuration", ~known, F.col("configurationId")),
+        ("treatment_differs", known & (strange | has(_METADATA)), F.col("configurationId")),
+        ("treatment_conflict", F.col("in_trial") & F.col("several"), F.lit("several treatments")),
+        ("pipe_in_tag", has(_TAG), F.col("tags")),
+        ("legacy_column", has(_LEGACY), F.lit("old log")),
+        ("not_a_response", has(_NO_RESPONSE), F.lit("no status and no timing")),
+    ]
+    found = F.array(*[F.when(broken, F.struct(F.lit(rule).alias("rule"), detail.alias("detail"))) for rule, broken, detail in rules])
+    of_trials = seen.select(F.col("trialId").alias("key"), F.explode(F.array_compact(found)).alias("x")).select("x.rule", "key", "x.detail")
+    return reduce(DataFrame.unionByName, [
         _rows(bad_versions(manifests), "contract_version", "experimentDir", F.lit("not 2")),
-        _rows(dup_within(trials), "duplicate_in_log", "trialId", "experimentDir"),
-        _rows(dup_across(trials), "duplicate_across_inputs", "trialId", F.concat_ws(" and ", "first", "last")),
         _rows(config_conflicts(definitions), "configuration_conflict", "configurationId", "definitions"),
-        _rows(unknown_config(all_rows, definitions), "unknown_configuration", "trialId", "configurationId"),
-        _rows(bad_treatments(all_rows, one), "treatment_differs", "trialId", "configurationId"),
-        _rows(treatment_conflicts(all_rows), "treatment_conflict", "trialId", F.lit("several treatments")),
-        _rows(bad_tags(trials), "pipe_in_tag", "trialId", F.array_join("taskTags", ",")),
-        *[_rows(legacy_rows(df), "legacy_column", "trialId", F.lit("old log")) for df in (trials, responses)],
-        _rows(not_responses(responses), "not_a_response", "trialId", F.lit("no status and no timing")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+        of_trials,
+    ])
 
 
 def refuse(violations: DataFrame, shown: int = 20) -> None:

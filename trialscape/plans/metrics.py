@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from trialscape.operators import checks, metrics
 from trialscape.operators.facts import FACT_COLUMNS, build_trial_facts
 from trialscape.operators.select import Selector, failure_cases, select_eval, select_rows
+from trialscape.session import drop_scratch, scratch_path
 from trialscape.sources.artifacts import RunLogs, load_runs, path_exists
 from trialscape.sources.manifest import configurations
 from trialscape.sources.sinks import metrics_manifest, run_manifest, write_csv, write_summary
@@ -56,15 +56,17 @@ def metric_tables(facts: DataFrame, gb: list[str] | None = None, accuracy: int |
 
 def compute_metrics(spark: SparkSession, dirs: list[str], out: str, gb: list[str] | None = None, selector: Selector | None = None,
                     eval_status: tuple = (), not_eval_status: tuple = (), force: bool = False, accuracy: int | None = None) -> None:
-    """The whole job. The contract is checked first; the facts are kept on disk while the tables are
-    written, because all ten read them."""
+    """The whole job. The contract is checked first; the facts are written once to the shared scratch folder, because
+    all ten tables read them, and removed at the end."""
     logs = load_runs(spark, dirs)
     checks.refuse(checks.contract_violations(logs.trials, logs.responses, logs.evals, logs.manifests))
     facts = run_facts(logs, traces_of(spark, logs, dirs, "executions"), traces_of(spark, logs, dirs, "evals"))
     facts = select_eval(select_rows(facts, selector or Selector(), "execution_status"), eval_status, not_eval_status)
-    facts = facts.persist(StorageLevel.DISK_ONLY)
     mode = "overwrite" if force else "error"
+    kept = scratch_path(spark, "facts")
     try:
+        facts.write.parquet(kept)
+        facts = spark.read.parquet(kept)
         for name, table in metric_tables(facts, gb, accuracy).items():
             write_csv(table, f"{out}/{name}.csv", mode=mode)
         group = metrics.check_group(gb or DEFAULT_GROUP)
@@ -75,4 +77,4 @@ def compute_metrics(spark: SparkSession, dirs: list[str], out: str, gb: list[str
         defined = None if logs.manifests is None else configurations(logs.manifests)
         write_summary(run_manifest(inputs, group, chosen, configurations=defined), f"{out}/metrics-manifest.json", mode)
     finally:
-        facts.unpersist()
+        drop_scratch(spark, kept)
