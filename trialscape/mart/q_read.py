@@ -255,3 +255,39 @@ def research_interests(spark, sf):
 
     rows = curriculum.research_interests(curricula(spark, sf))
     return rows.select("id", F.try_variant_get("expertise", "$.area", "string").alias("area"))
+
+
+# --- the contract of a metrics run ------------------------------------------------
+
+@register("contract_violations", """
+SELECT DISTINCT 'contract_version' AS rule, experimentId AS key, 'not 2' AS detail FROM x_trials
+UNION ALL SELECT DISTINCT 'configuration_conflict', 'cfg-F', '2' FROM x_trials WHERE experimentId = 'exp-3' AND configurationId = 'cfg-F'
+UNION ALL SELECT 'duplicate_in_log', trialId, experimentId FROM x_trials WHERE k % 200 = 0
+UNION ALL SELECT 'duplicate_across_inputs', trialId, 'dir9 and ' || experimentId FROM x_trials WHERE k % 300 = 0
+UNION ALL SELECT 'unknown_configuration', trialId, 'cfg-P' FROM x_trials WHERE configurationId = 'cfg-P'
+UNION ALL SELECT 'treatment_differs', trialId, configurationId FROM x_trials WHERE k % 40 = 0 AND configurationId <> 'cfg-P'
+UNION ALL SELECT 'treatment_conflict', trialId, 'several treatments' FROM x_trials
+  WHERE k % 40 = 0 AND (trialId IN (SELECT trialId FROM x_log) OR trialId IN (SELECT trialId FROM x_evals))
+UNION ALL SELECT 'pipe_in_tag', trialId, 'a|b,c' FROM x_trials WHERE k % 90 = 0
+UNION ALL SELECT 'legacy_column', trialId, 'old log' FROM x_trials WHERE k % 70 = 0
+UNION ALL SELECT DISTINCT 'not_a_response', CAST(l_orderkey AS VARCHAR), 'no status and no timing' FROM lineitem WHERE l_linenumber = 7""")
+def contract_violations(spark, sf):
+    """Logs bent in every way the contract forbids, and manifests that miss a configuration and disagree on another."""
+    own = ["trialId", "experimentDir", *checks.TREATMENT, "metadata"]
+    t = m.trials(spark, sf).withColumn("experimentDir", F.col("experimentId"))
+    bent = t.select(
+        "trialId", "experimentDir", "configurationId", "strategy", "surface", "metadata", "seq",
+        F.when(F.col("seq") % 40 == 0, F.lit("other")).otherwise(F.col("representation")).alias("representation"),
+        F.when(F.col("seq") % 90 == 0, F.array(F.lit("a|b"), F.lit("c"))).otherwise(F.col("taskTags")).alias("taskTags"),
+        F.when(F.col("seq") % 70 == 0, F.lit("old")).alias("question"),
+    )
+    trials = bent.unionByName(bent.where("seq % 200 = 0")).unionByName(bent.where("seq % 300 = 0").withColumn("experimentDir", F.lit("dir9")))
+    last = F.col("seq.l_linenumber") == 7
+    responses = m.response_log(spark, sf).select(
+        "trialId", *[F.when(~last, F.col(c)).alias(c) for c in ("status", "timing")]).join(t.select(*own), "trialId")
+    evals = m.evals(spark, sf).withColumn("experimentDir", F.col("experimentId")).select(*own)
+    defined = F.map_filter("configurations", lambda k, v: k != "cfg-P")
+    differs = lambda k, v: (F.col("experimentId") == "exp-3") & (k == "cfg-F")
+    manifests = read_manifests(spark, sf).withColumn("experimentDir", F.col("experimentId")).withColumn(
+        "configurations", F.transform_values(defined, lambda k, v: F.when(differs(k, v), v.withField("strategy", F.lit("zzz"))).otherwise(v)))
+    return checks.contract_violations(trials, responses, evals, manifests).distinct()
