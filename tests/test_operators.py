@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialscape.functions import scalar, stats, text
-from trialscape.operators import corpus, metrics, planning, ranking, segments, symbols, votes
+from trialscape.operators import corpus, metrics, planning, ranking, segments, study, symbols, votes
 from trialscape.operators.latest import dedup_judges, first_vote, latest
 from trialscape.sources.sinks import csv_table
 
@@ -168,3 +168,25 @@ def test_numbers_and_years(spark):
     df = spark.sql("SELECT parse_json('{\"a\": true, \"b\": \"7\", \"c\": 7}') AS v, 'in 1999, not 12005, doi.org/10.1/x). 2004' AS t")
     row = df.select(*[scalar.variant_number(F.col("v"), f"$.{k}").alias(k) for k in "abc"], scalar.years("t").alias("y")).collect()[0]
     assert (row.a, row.b, row.c, row.y) == (None, None, 7.0, [1999, 2004])
+
+
+def test_join_without_keys_takes_the_one_row(spark):
+    left = spark.createDataFrame([(1,), (None,)], "a INT")
+    right = spark.createDataFrame([(7, None)], "b INT, c STRING")
+    for how in ("left", "inner"):
+        joined = stats.null_safe_join(left, right, [], how)
+        assert joined.columns == ["a", "b", "c"] and [tuple(r) for r in joined.orderBy("a").collect()] == [(None, 7, None), (1, 7, None)]
+        assert "Join" not in joined._jdf.queryExecution().executedPlan().toString()
+    none = right.where("b > 7")
+    assert stats.null_safe_join(left, none, []).where("b IS NULL").count() == 2 and stats.null_safe_join(left, none, [], "inner").count() == 0
+
+
+def test_whole_table_statistics(spark):
+    """Without groups: quartiles and whiskers over all rows, also of an empty table."""
+    rows = spark.createDataFrame([(float(i),) for i in range(1, 12)] + [(100.0,), (None,)], "v DOUBLE")
+    found = stats.group_quantiles(rows, [], {"q1": ("v", 25), "m": ("v", 50)}).collect()
+    assert [tuple(r.asDict()[k] for k in ("q1", "m")) for r in found] == [(3.75, 6.5)]
+    box = study.box_stats(rows, [], "v").collect()
+    assert [(r.n, r.median, r.whisker_low, r.whisker_high, r.outliers) for r in box] == [(12, 6.5, 1.0, 11.0, 1)]
+    empty = study.box_stats(rows.where("v < 0"), [], "v").collect()
+    assert [(r.n, r.median, r.whisker_low) for r in empty] == [(0, None, None)]

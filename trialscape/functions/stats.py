@@ -21,12 +21,15 @@ def sample_stddev(c: Column | str) -> Column:
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Equi-join in which null keys match each other; the right keys are dropped."""
+    """Equi-join in which null keys match each other; the right keys are dropped. Without keys the right side
+    has one row, which the left rows take as a scalar subquery."""
+    if not keys:
+        row = right.select(F.struct(*right.columns).alias("__row")).scalar()
+        found = left.withColumn("__row", row)
+        return (found.where("__row IS NOT NULL") if how == "inner" else found).select(*left.columns, "__row.*")
     renamed = right.select(
         *[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys]
     )
-    if not keys:
-        return left.join(renamed, F.lit(True), how)
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__{k}"]) for k in keys])
     return left.join(renamed, cond, how).drop(*[f"__{k}" for k in keys])
 
