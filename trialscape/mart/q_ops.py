@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialscape.functions import scalar
+from trialscape.functions.stats import running_position
 from trialscape.mart import tables as m
 from trialscape.mart.registry import cte, register
 from trialscape.operators import checks, metrics, pending, planning, ranking, select as select_ops, sets
@@ -217,6 +218,20 @@ def job_order(spark, sf):
     return pending.job_order(pending.judge_jobs(answered(spark, sf), judges(spark, sf))).select("trialId", "judgeId", "instanceId")
 
 
+def places(ordered):
+    """Rows with the number of their place in the order that the operator left them in."""
+    return running_position(ordered.withColumn("place", F.monotonically_increasing_id()), [], [F.col("place")], "position")
+
+
+@register("job_places", """
+SELECT DISTINCT trialId, rank() OVER (ORDER BY array_to_string(list_sort(t.contextBlocks), ','), coalesce(t.instanceId, ''), coalesce(t.taskId, ''),
+  coalesce(t.provider, ''), coalesce(t.modelName, ''), trialId) AS position FROM x_jobs j JOIN x_trials t USING (trialId)""")
+def job_places(spark, sf):
+    """The order itself: the first place of each trial's jobs."""
+    ordered = pending.job_order(pending.judge_jobs(answered(spark, sf), judges(spark, sf)))
+    return places(ordered.select("trialId")).groupBy("trialId").agg(F.min("position").alias("position"))
+
+
 @register("batch_match", """
 SELECT j.trialId, j.judgeId, v.correctness AS rating, v.totalTokens FROM x_jobs j JOIN x_lastvotes v ON j.custom_id = v.trialId || '-' || v.judgeId""")
 def batch_match(spark, sf):
@@ -709,6 +724,13 @@ def canonical_order(spark, sf):
     return metrics.canonical_order(facts(spark, sf), ["dataset_id", "experimentId", "trialId"]).select("dataset_id", "experimentId", "trialId")
 
 
+@register("canonical_places", """
+SELECT trialId, row_number() OVER (ORDER BY coalesce(dataset_id, ''), experimentId, trialId) AS position FROM x_facts""")
+def canonical_places(spark, sf):
+    """The order itself: each row's place."""
+    return places(metrics.canonical_order(facts(spark, sf), ["dataset_id", "experimentId", "trialId"]).select("trialId")).select("trialId", "position")
+
+
 @register("first_vote_judge", "SELECT judgeId, count(*) AS n FROM x_votes WHERE firstValid = 1 GROUP BY judgeId")
 def first_vote_judge(spark, sf):
     return first_vote(m.votes(spark, sf)).groupBy("judgeId").agg(F.count(F.lit(1)).alias("n"))

@@ -241,6 +241,16 @@ def discrepancies(spark, sf):
     )
 
 
+@register("discrepancies_first", """
+SELECT trialId, taskId, criterion, ratings_tuple, has_majority, majority_rating, unanimous, outcome_rating, outcome_agreement
+FROM x_check WHERE (NOT unanimous OR NOT has_majority) AND criterion = 'completeness' ORDER BY trialId, criterion LIMIT 25""")
+def discrepancies_first(spark, sf):
+    """The first 25 of one criterion; the limit is the listing's own."""
+    return select_ops.list_discrepancies(checked(spark, sf), criterion="completeness", limit=25).withColumns(
+        {c: F.coalesce(c, F.lit(False)) for c in ("has_majority", "unanimous")}
+    )
+
+
 def query_sql(source: str, keys: list[str]) -> str:
     gb = ", ".join(keys)
     f = lambda agg, c: f"{agg}({c}) FILTER (has_eval)"

@@ -70,15 +70,26 @@ def behavior_of_runs(spark, sf):
                         "full_unanimous_meet_rate_pct", "total_cost_tokens_corrected_avg")
 
 
-@register("behavior_examples", """
-SELECT doc_id, lang FROM x_flags WHERE has_number AND lang = 'en'""")
-def behavior_examples(spark, sf):
-    rows = flagged(spark, sf).select(
+def _flag_rows(spark, sf):
+    return flagged(spark, sf).select(
         F.col("doc_id").alias("trialId"), F.lit("t").alias("taskId"), F.col("source").alias("modelId"), F.col("lang").alias("configurationId"),
         F.lit("text").alias("representation"), F.col("good").alias("full_unanimous_meet"), F.col("good").alias("strict_majority_meet"),
         "has_number", F.col("text").alias("response"),
     )
-    found = select_ops.behavior_examples(rows, "has_number", configuration="en", limit=None)
+
+
+@register("behavior_examples", """
+SELECT doc_id, lang FROM x_flags WHERE has_number AND lang = 'en'""")
+def behavior_examples(spark, sf):
+    found = select_ops.behavior_examples(_flag_rows(spark, sf), "has_number", configuration="en", limit=None)
+    return found.select(F.col("trialId").alias("doc_id"), F.col("configurationId").alias("lang"))
+
+
+@register("behavior_examples_first", """
+SELECT doc_id, lang FROM x_flags WHERE has_number AND lang = 'fr' ORDER BY doc_id LIMIT 25""")
+def behavior_examples_first(spark, sf):
+    """The first 25 of one configuration; the limit is the listing's own."""
+    found = select_ops.behavior_examples(_flag_rows(spark, sf), "has_number", configuration="fr", task="t", limit=25)
     return found.select(F.col("trialId").alias("doc_id"), F.col("configurationId").alias("lang"))
 
 
