@@ -126,11 +126,11 @@ def artifact_roundtrip(spark, sf):
     folder = scratch_path(spark, "run")
     log = m.response_log(spark, sf)
     rows = log.repartitionByRange("trialId", "seq").sortWithinPartitions("trialId", "seq").drop("seq")
-    sinks.write_jsonl(rows, f"{folder}/responses.jsonl")
+    sinks.write_jsonl(rows, f"{folder}/responses.jsonl", compression="gzip")
     back = artifacts.read_artifact(spark, folder, "responses")
     from trialscape.operators.latest import latest
 
-    return latest(back, ["trialId"]).select("trialId", "status", "metricsSummary.totalTokens", "response")
+    return latest(back.select("trialId", "seq", "status", "metricsSummary.totalTokens", "response"), ["trialId"]).drop("seq")
 
 
 def in_small_splits(spark, size="32k"):

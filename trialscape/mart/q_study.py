@@ -12,9 +12,10 @@ from trialscape.operators import ranking, runs as runs_ops, select as select_ops
 from trialscape.operators import votes as vote_ops
 
 
-def runs(spark, sf):
+def runs(spark, sf, text=False):
+    """The run table; only listings that show answers ask for their texts."""
     return runs_ops.build_runs(
-        latest_ops.latest(m.responses(spark, sf), ["trialId"]),
+        m.latest_responses(spark, sf, text),
         m.evals(spark, sf).drop("seq"),
         m.votes(spark, sf),
         consensus(spark, sf),
@@ -54,7 +55,7 @@ SELECT trialId, taskId, modelId, configurationId, status_answer, response, has_e
   CAST(wasted AS DOUBLE) AS wasted_tokens_no_full_meet, NOT fullm AS is_wasted_no_full_meet, array_to_string(tags, '|') AS tags,
   length(response) AS answerChars FROM x_runs""")
 def runs_query(spark, sf):
-    return runs(spark, sf).select(
+    return runs(spark, sf, text=True).select(
         "trialId", "taskId", "modelId", "configurationId", "status_answer", "response", "has_eval", "totalTokens_answer",
         "totalDurationMs_answer", "strict_majority_meet", "full_unanimous_meet", "full_consensus",
         "no_majority_any_criterion", "collapsed_majority_accuracy", "answer_tokens_cost", "evaluation_tokens_corrected",
@@ -487,6 +488,6 @@ SELECT trialId, instanceId, modelId, configurationId, taskId, response, strict A
 FROM x_runs WHERE taskId IN ('1-URGENT', '3-MEDIUM') AND strategy = 'inline'""")
 def answers_of_interest(spark, sf):
     definitions = m.trials(spark, sf).select("configurationId", "strategy").distinct()
-    return select_ops.answers_of_interest(runs(spark, sf), definitions, ["1-URGENT", "3-MEDIUM"]).select(
+    return select_ops.answers_of_interest(runs(spark, sf, text=True), definitions, ["1-URGENT", "3-MEDIUM"]).select(
         "trialId", "instanceId", "modelId", "configurationId", "taskId", "response", "strict_majority_meet", "totalTokens_answer"
     )

@@ -65,7 +65,7 @@ FROM x_runs GROUP BY configurationId""")
 def behavior_of_runs(spark, sf):
     from trialscape.mart.q_study import runs
 
-    table = behavior.summarize_behavior(behavior.behavior_flags(runs(spark, sf)), ["configurationId"])
+    table = behavior.summarize_behavior(behavior.behavior_flags(runs(spark, sf, text=True)), ["configurationId"])
     return table.select("configurationId", "runs", "empty_or_near_empty_rate_pct", "has_number_rate_pct",
                         "full_unanimous_meet_rate_pct", "total_cost_tokens_corrected_avg")
 

@@ -15,27 +15,43 @@ def _strings(c: str) -> Column:
     return F.coalesce(c, F.array().cast(_EMPTY)).alias(c)
 
 
+RESPONSE_COLUMNS = [
+    "experimentId", "taskId", "instanceId", "modelId", "model", "provider", "configurationId", "strategy", "representation",
+    "repeatIndex", "status", "errorMessage", "taskStatement", "taskTemplate", "response", "answerChars", "answerWords", "taskTags",
+    "contextBlocks", "validationType", "traceRef", "usage", "metricsSummary", "timing",
+]
+
+
+def measure_answers(responses: DataFrame) -> DataFrame:
+    """The length of each answer instead of its text, for tables that show no texts; a row is a fraction as wide."""
+    answer = F.coalesce("response", F.lit(""))
+    measures = {"answerChars": F.length(answer).cast("long"), "answerWords": word_count(answer)}
+    return responses.withColumns(measures).drop("response")
+
+
 def flatten_responses(responses: DataFrame) -> DataFrame:
-    """RSH-2: tokens come from ``usage`` first, durations from the summary first."""
+    """RSH-2: tokens come from ``usage`` first, durations from the summary first. Responses of
+    :func:`measure_answers` have no text."""
     def first(usage: str) -> Column:
         return F.coalesce(F.col(f"usage.{usage}"), F.col(f"metricsSummary.{usage}")).alias(f"{usage}_answer")
 
-    answer = F.coalesce("response", F.lit(""))
+    texts = "response" in responses.columns
+    kept = responses.withColumns({"__text": F.coalesce("response", F.lit(""))} if texts else {})
+    rows = measure_answers(kept).withColumnRenamed("__text", "response") if texts else kept
     counters = [
         "strategyDurationMs", "modelDurationMs", "toolDurationMs", "rateLimitWaitMs", "retryCount", "toolCalls",
         "functionCalls", "mcpToolCalls", "modelCalls", "contextChars", "contextBytes", "promptChars",
     ]
-    return responses.select(
+    return rows.select(
         "trialId", "experimentId", "taskId", "instanceId", "modelId", "model", "provider", "configurationId",
         "strategy", "representation", "repeatIndex",
         F.col("status").alias("status_answer"), "errorMessage", "taskStatement", "taskTemplate",
-        answer.alias("response"), _strings("taskTags"), _strings("contextBlocks"), "validationType",
+        *(["response"] if texts else []), _strings("taskTags"), _strings("contextBlocks"), "validationType",
         F.col("traceRef").alias("traceRef_answer"),
         first("inputTokens"), first("outputTokens"), first("totalTokens"), first("cachedInputTokens"),
         F.coalesce("metricsSummary.totalDurationMs", "timing.durationMs").alias("totalDurationMs_answer"),
         *[F.col(f"metricsSummary.{c}") for c in counters],
-        F.length(answer).cast("long").alias("answerChars"),
-        word_count(answer).alias("answerWords"),
+        "answerChars", "answerWords",
     )
 
 

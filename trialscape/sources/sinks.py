@@ -77,11 +77,12 @@ def sorted_fields(c: Column, data_type: T.DataType) -> Column:
     return c
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
-    """SNK-3: one object per line, keys sorted at every level, nulls kept."""
+def write_jsonl(df: DataFrame, path: str, mode: str = "error", compression: str = "none") -> None:
+    """SNK-3: one object per line, keys sorted at every level, nulls kept. Logs repeat their keys in every line;
+    ``compression="gzip"`` is read back like plain parts, each part by one task."""
     ordered = sorted(df.schema.fields, key=lambda f: f.name)
     rows = df.select(*[sorted_fields(F.col(f.name), f.dataType).alias(f.name) for f in ordered])
-    rows.write.mode(mode).option("ignoreNullFields", "false").json(path)
+    rows.write.mode(mode).option("ignoreNullFields", "false").option("compression", compression).json(path)
 
 
 def write_summary(df: DataFrame, path: str, mode: str = "error") -> None:
