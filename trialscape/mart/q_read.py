@@ -14,7 +14,7 @@ from trialscape.operators import latest as latest_ops
 from trialscape.operators import metrics as metric_ops
 from trialscape.operators import select as select_ops
 from trialscape.operators import votes as vote_ops
-from trialscape.session import scratch_path
+from trialscape.session import drop_scratch, scratch_path
 from trialscape.sources import artifacts, catalog, manifest, sinks
 
 EXPERIMENTS = [f"exp-{i}" for i in range(4)]
@@ -68,12 +68,14 @@ def manifest_judges(spark, sf):
 def logs_of_experiments(spark, sf):
     """Four experiments; the last has no evaluations, all but the first no votes."""
     folder, dirs = manifest_folder(spark, sf)
-    own = m.trials(spark, sf).select("trialId", "experimentId")
-    kinds = {"trials": (m.trials(spark, sf).drop("seq"), EXPERIMENTS), "responses": (m.response_log(spark, sf).drop("seq").join(own, "trialId"), EXPERIMENTS),
-             "evals": (m.evals(spark, sf).drop("seq"), EXPERIMENTS[:3]), "judge_votes": (m.votes(spark, sf).drop("seq").join(own, "trialId"), EXPERIMENTS[:1])}
+    evals = scratch_path(spark, "evals")
+    m.evals(spark, sf).drop("seq").write.parquet(evals)
+    kinds = {"trials": (m.trials(spark, sf).drop("seq"), EXPERIMENTS), "responses": (m.response_log(spark, sf, experiments=True).drop("seq"), EXPERIMENTS),
+             "evals": (spark.read.parquet(evals), EXPERIMENTS[:3]), "judge_votes": (m.votes(spark, sf, experiments=True).drop("seq"), EXPERIMENTS[:1])}
     for kind, (rows, names) in kinds.items():
         for name in names:
-            sinks.write_jsonl(rows.where(F.col("experimentId") == name), f"{folder}/{name}/{kind}.jsonl")
+            sinks.write_jsonl(rows.where(F.col("experimentId") == name), f"{folder}/{name}/{kind}.jsonl", compression="gzip")
+    drop_scratch(spark, evals)
     return folder, dirs
 
 
