@@ -131,21 +131,25 @@ def semi(df: DataFrame, ids: DataFrame, key: str = "trialId") -> DataFrame:
 def trial_detail(responses: DataFrame, evals: DataFrame, votes: DataFrame, trial_id: str | None = None,
                  seq: str = "seq") -> DataFrame:
     """FLT-8: everything about a trial (or about every trial) as JSON rows: the first response, the
-    latest evaluation and each vote in order. An id filter reaches all three scans."""
+    latest evaluation and each vote in order. An id filter reaches all three scans. Rows are picked and sorted as
+    they are and written as JSON last, as the text is several times as wide."""
     order_type = votes.schema[seq].dataType
 
     def part(df: DataFrame) -> DataFrame:
         rows = df if trial_id is None else df.where(F.col("trialId") == trial_id)
-        return rows.select("trialId", F.col(seq).alias("__s"), F.to_json(F.struct(*[c for c in df.columns if c != seq])).alias("body"))
+        return rows.select("trialId", F.col(seq).alias("__s"), F.struct(*[c for c in df.columns if c != seq]).alias("body"))
 
     def one(df: DataFrame, rank: int, kind: str, pick) -> DataFrame:
-        return part(df).groupBy("trialId").agg(pick("body", "__s").alias("body")).select(
-            "trialId", F.lit(rank).alias("part"), F.lit(kind).alias("kind"), F.lit(None).cast(order_type).alias("__s"), "body"
+        return part(df).groupBy("trialId").agg(pick("body", "__s").alias(kind)).select(
+            "trialId", F.lit(rank).alias("part"), F.lit(kind).alias("kind"), F.lit(None).cast(order_type).alias("__s"), kind
         )
 
-    each = part(votes).select("trialId", F.lit(2).alias("part"), F.lit("vote").alias("kind"), "__s", "body")
-    rows = one(responses, 0, "response", F.min_by).unionByName(one(evals, 1, "evaluation", F.max_by)).unionByName(each)
-    return rows.orderBy("trialId", "part", "__s").select("trialId", "kind", "body")
+    each = part(votes).select("trialId", F.lit(2).alias("part"), F.lit("vote").alias("kind"), "__s", F.col("body").alias("vote"))
+    rows = one(responses, 0, "response", F.min_by)
+    for other in (one(evals, 1, "evaluation", F.max_by), each):
+        rows = rows.unionByName(other, allowMissingColumns=True)
+    body = F.coalesce(*[F.to_json(c) for c in ("response", "evaluation", "vote")])
+    return rows.orderBy("trialId", "part", "__s").select("trialId", "kind", body.alias("body"))
 
 
 def trial_object(responses: DataFrame, evals: DataFrame, votes: DataFrame, trial_id: str | None = None, seq: str = "seq") -> DataFrame:
