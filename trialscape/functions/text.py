@@ -47,9 +47,14 @@ def slice_between(c: Column | str, start: str, end: str, keep_start: bool = True
     """Text from the first ``start`` up to the next ``end`` (or to the end of the text);
     '' when ``start`` does not occur."""
     text = col(c)
+    if not keep_start or not (start.startswith(end) or end.startswith(start)):
+        # the text is named twice only: each further naming makes it anew where it is an expression
+        before = F.length(F.substring_index(text, start, 1))
+        tail = F.substr(text, before + (1 if keep_start else 1 + len(start)))
+        return F.coalesce(F.substring_index(tail, end, 1), F.lit(""))
     at = F.locate(start, text)
-    tail = F.substr(text, at if keep_start else at + len(start))
-    stop = F.locate(end, tail, 2 if keep_start else 1)
+    tail = F.substr(text, at)
+    stop = F.locate(end, tail, 2)
     found = F.when(stop > 0, F.substr(tail, F.lit(1), stop - 1)).otherwise(tail)
     return F.when(at > 0, found).otherwise(F.lit(""))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialscape.functions.scalar import first_year, last_year
-from trialscape.functions.text import html_section, html_section_until, html_to_text, strip_markup
+from trialscape.functions.text import html_section, html_section_until, html_to_text, strip_markup, unescape
 
 # Fixed patterns of the page layout.
 _LEFT = (
@@ -43,7 +43,7 @@ def _found_all(c: Column, pattern: str) -> Column:
 
 def _records(df: DataFrame, section: Column, pattern: str, names: list[str], keep: list[str]) -> DataFrame:
     groups = [F.regexp_extract_all(F.col("__s"), F.lit(pattern), F.lit(i + 1)).alias(n) for i, n in enumerate(names)]
-    rows = df.select(*keep, section.alias("__s")).where(F.length("__s") > 0)
+    rows = df.select(*keep, section.alias("__s"))  # a filter here would make the section, and the page, once more
     zipped = rows.select(*keep, *groups).select(*keep, F.posexplode(F.arrays_zip(*names)).alias("ord", "__r"))
     return zipped.select(*keep, "ord", "__r.*")
 
@@ -94,26 +94,30 @@ def projects(df: DataFrame, html: str = "html", keep: list[str] | None = None) -
 
 
 def publications(df: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """Journal, conference and accepted papers. Text is ``authors . title. venue, ...``."""
+    """Journal, conference and accepted papers. Text is ``authors . title. venue, ...``. Pages are read once."""
     columns = keep or [c for c in df.columns if c != html]
-    journal = html_section_until(html, "ArtigosCompletos", "TrabalhosPublicadosAnaisCongresso")
-    conference = html_section_until(html, "TrabalhosPublicadosAnaisCongresso", "ArtigosAceitos")
-    accepted = html_section_until(html, "ArtigosAceitos", "OutrasProducoesBibliograficas")
-
-    def part(kind: str, section: Column, pattern: str, year: Column, doi: str) -> DataFrame:
-        rows = _records(df, section, pattern, ["raw"], columns)
-        return rows.select(
-            *columns, F.lit(kind).alias("kind"), "ord", html_to_text("raw").alias("text"),
-            year.alias("__year"), _found(F.col("raw"), doi).alias("doi"),
-        )
-
-    none = F.lit(None).cast("string")
-    rows = (
-        part("journal", journal, ARTICLE, _found(F.col("raw"), ARTICLE_YEAR), ARTICLE_DOI)
-        .unionByName(part("conference", conference, PAPER, none, PAPER_DOI))
-        .unionByName(part("accepted", accepted, PAPER, none, PAPER_DOI))
-        .where("text IS NOT NULL")
+    sections = {
+        "journal": ("ArtigosCompletos", "TrabalhosPublicadosAnaisCongresso", ARTICLE),
+        "conference": ("TrabalhosPublicadosAnaisCongresso", "ArtigosAceitos", PAPER),
+        "accepted": ("ArtigosAceitos", "OutrasProducoesBibliograficas", PAPER),
+    }
+
+    def part(kind: str, start: str, end: str, pattern: str) -> Column:
+        found = F.regexp_extract_all(html_section_until(html, start, end), F.lit(pattern), F.lit(1))
+        return F.transform(found, lambda raw, i: F.struct(F.lit(kind).alias("kind"), i.alias("ord"), raw.alias("raw")))
+
+    records = F.concat(*[part(kind, *where) for kind, where in sections.items()])
+    journal, raw = F.col("kind") == "journal", F.col("raw")
+    doi = F.when(journal, F.regexp_extract(raw, ARTICLE_DOI, 1)).otherwise(F.regexp_extract(raw, PAPER_DOI, 1))
+    found = df.select(*columns, F.explode(records).alias("__r")).select(*columns, "__r.*").select(
+        *columns, "kind", "ord", unescape(raw).alias("__text"), doi.alias("__doi"),
+        F.when(journal, F.nullif(F.regexp_extract(raw, ARTICLE_YEAR, 1), F.lit(""))).alias("__year"),
     )
+    # texts come out of an explode, below which no filter is pushed: they are made, and seen by Python, once
+    rows = found.select(
+        *columns, "kind", "ord", "__year", strip_markup(F.nullif(F.col("__doi"), F.lit(""))).alias("doi"),
+        F.explode(F.array(strip_markup("__text"))).alias("text"),
+    ).where("text IS NOT NULL")
     at = F.locate(" . ", F.col("text"))
     people = F.when(at > 0, F.substr("text", F.lit(1), at - 1)).otherwise(F.col("text"))
     rest = F.when(at > 0, F.substr("text", at + 3)).otherwise(F.lit(""))
