@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -224,14 +226,14 @@ def train(texts: list[str], langs: list[str], rounds: int = 3, seed: int = 7) ->
     return Model(labels, features, weights.astype(np.float32), change)
 
 
-def labelled_sample(texts: DataFrame) -> list[Row]:
+def sampled(texts: DataFrame) -> DataFrame | None:
     """Rows (lang, print, text): per language the ``SAMPLE_ROWS`` different texts of least hash among those with a label
     other than ``und`` and a letter; of a longer text a stretch of ``SAMPLE_CHARS`` code points, whose place
     its hash draws.
 
     Equal texts count once. Only hashes are ranked, in slices first, so that a task of the second ranking sees at most
-    ``SLICES * SAMPLE_ROWS`` of them; then the texts of the winners are fetched. The driver holds ``SAMPLE_ROWS``
-    texts a label: a table with 1,000 labels gives at most 400,000 stretches.
+    ``SLICES * SAMPLE_ROWS`` of them; then the texts of the winners are fetched. There are ``SAMPLE_ROWS``
+    texts a label: a table with 1,000 labels gives at most 400,000 stretches. Without a labelled text there is none.
     """
     marked = texts.where(
         F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").rlike(r"\p{L}")
@@ -246,12 +248,36 @@ def labelled_sample(texts: DataFrame) -> list[Row]:
         .select("lang", "print").toArrow()
     )
     if not least.num_rows:
-        return []
+        return None
     beyond = F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0))
     begin = F.pmod(F.xxhash64(F.col("print")), beyond + 1).cast("int") + 1
     fetched = marked.join(F.broadcast(texts.sparkSession.createDataFrame(least)), ["lang", "print"], "left_semi")
     stretch = F.substring("text", begin, SAMPLE_CHARS).alias("text")
-    return fetched.select("lang", "print", stretch).distinct().orderBy("lang", "print", "text").collect()
+    return fetched.select("lang", "print", stretch).distinct()
+
+
+def labelled_sample(texts: DataFrame) -> list[Row]:
+    """The rows of :func:`sampled`, in order."""
+    sample = sampled(texts)
+    return [] if sample is None else sample.orderBy("lang", "print", "text").collect()
+
+
+def fitted(sample: DataFrame) -> Model:
+    """The model of a labelled sample, fitted in a task: the driver sees weights, no texts."""
+
+    def work(batches):
+        langs, texts = [], []
+        for batch in batches:
+            langs += batch.column(0).to_pylist()
+            texts += batch.column(1).to_pylist()
+        if texts:
+            model = train(texts, langs)
+            parts = pickle.dumps((model.labels, model.features.lexicons, model.weights, model.change))
+            yield pa.RecordBatch.from_arrays([pa.array([parts], pa.binary())], names=["parts"])
+
+    in_order = sample.repartition(1).sortWithinPartitions("lang", "print", "text").select("lang", "text")
+    labels, lexicons, weights, change = pickle.loads(in_order.mapInArrow(work, "parts binary").first()["parts"])
+    return Model(labels, Features(lexicons), weights, change)
 
 
 def identify_languages(
@@ -259,7 +285,7 @@ def identify_languages(
 ) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1).
 
-    The model is fitted on a bounded sample of ``learn_from`` (by default ``docs``), see :func:`labelled_sample`.
+    The model is fitted on a bounded sample of ``learn_from`` (by default ``docs``), see :func:`sampled`.
     Each word's label gets its chance in the chain of all words of
     the whole text; the text's language has the greatest mean chance, which is the score (ties:
     the first in alphabetical order). Nothing but ``text`` enters a prediction.
@@ -270,8 +296,8 @@ def identify_languages(
     """
     spark = docs.sparkSession
     learn_from = docs if learn_from is None else learn_from
-    sample = labelled_sample(learn_from.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")))
-    model = spark.sparkContext.broadcast(train([r["text"] for r in sample], [r["lang"] for r in sample]) if sample else None)
+    sample = sampled(learn_from.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")))
+    model = spark.sparkContext.broadcast(None if sample is None else fitted(sample))
 
     def fn(column: pa.Array) -> list[pa.Array]:
         if model.value is None:
