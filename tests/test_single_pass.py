@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from trialscape.functions import text as text_fn
 from trialscape.operators import html as html_ops
+from trialscape.operators import symbols
 
 
 def optimized(df) -> str:
@@ -47,3 +51,25 @@ def test_slices_of_any_marks(spark, start, end, keep):
     df = spark.createDataFrame(list(enumerate(texts)), "i INT, s STRING")
     got = dict(df.select("i", text_fn.slice_between(F.col("s"), start, end, keep_start=keep)).collect())
     assert got == {i: slow(s) for i, s in enumerate(texts)}
+
+
+def test_symbol_levels_are_made_once(spark, tmp_path):
+    odd = 'a"b\\é\x7f\n'
+    inner = {"kind": "method", "name": odd, "start_line": 3, "children": [{"name": "deep"}]}
+    trees = [("w", "p", json.dumps([{"kind": "class", "name": "A", "children": [inner, 5, inner]}])), ("w", "q", None)]
+    spark.createDataFrame(trees, "workspaceId STRING, path STRING, tree STRING").write.parquet(str(tmp_path / "t"))
+    files = spark.read.parquet(str(tmp_path / "t")).select("workspaceId", "path", F.try_parse_json("tree").alias("symbols"))
+    found = symbols.flatten_symbols(files, depth=3)
+    assert "Filter CASE" not in optimized(found)
+    rows = {(r.depth, r.sibling_index): r for r in found.collect()}
+    assert sorted(rows) == [(0, 0), (1, 0), (1, 2), (2, 0)]
+
+    def own_id(kind, name, index, line):
+        fields = {"end_line": None, "kind": kind, "path": "p", "qualified_name": name, "sibling_index": index, "start_line": line}
+        return "repoqa:" + hashlib.sha256(json.dumps(fields).encode()).hexdigest()[:20]
+
+    name = "A." + rows[1, 2].name
+    assert rows[0, 0].symbol_id == own_id("class", "A", 0, None) and rows[1, 2].symbol_id == own_id("method", name, 2, 3)
+    assert rows[2, 0].qualified_name == f"{name}.deep" and rows[2, 0].ancestors[0] == rows[0, 0].symbol_id
+    with pytest.raises(Exception, match="nested deeper than 2 in p"):
+        symbols.flatten_symbols(files, depth=2).collect()

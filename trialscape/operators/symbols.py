@@ -11,7 +11,8 @@ _NODE = "array<struct<v:variant,ord:int,id:string,parent_id:string,names:array<s
 
 
 def _quoted(c: Column) -> Column:
-    """A JSON string literal in ASCII."""
+    """A JSON string literal in ASCII. A text that needs no escape is only put in quotes."""
+    simple = F.rlike(c, F.lit(r"^[ !#-\[\]-~]*\z"))
     plain = F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
 
     def escape(ch: Column) -> Column:
@@ -22,7 +23,8 @@ def _quoted(c: Column) -> Column:
         return F.when(code < 128, ch).when(code < 65536, unit(code)).otherwise(F.concat(unit(high), unit(low)))
 
     wide = F.array_join(F.transform(F.split(plain, ""), escape), "")
-    return F.when(F.rlike(plain, F.lit(r"^[\x00-\x7f]*$")), plain).otherwise(wide)
+    escaped = F.when(F.rlike(plain, F.lit(r"^[\x00-\x7f]*$")), plain).otherwise(wide)
+    return F.when(simple, F.concat(F.lit('"'), c, F.lit('"'))).otherwise(escaped)
 
 
 def _line(v: Column, *paths: str) -> Column:
@@ -81,7 +83,9 @@ def flatten_symbols(files: DataFrame, depth: int | None = None) -> DataFrame:
 
     def children(n: Column) -> Column:
         kids = F.coalesce(variant_array(n["v"], "$.children"), F.array().cast("array<variant>"))
-        return level_of(kids, n["id"], F.concat(n["names"], F.array(_named(n["v"]))), F.concat(n["ids"], F.array(n["id"])))
+        own = F.struct(F.concat(n["names"], F.array(_named(n["v"]))).alias("names"), F.concat(n["ids"], F.array(n["id"])).alias("ids"))
+        # bound to a name, as each child would work them out again
+        return F.flatten(F.transform(F.array(own), lambda a: level_of(kids, n["id"], a["names"], a["ids"])))
 
     none = F.array().cast("array<string>")
     top = F.coalesce(F.try_variant_get("symbols", "$", "array<variant>"), F.array().cast("array<variant>"))
@@ -98,10 +102,11 @@ def flatten_symbols(files: DataFrame, depth: int | None = None) -> DataFrame:
             depth *= 2
     rows = unrolled(depth)
     too_deep = F.size(f"__l{depth}") > 0
-    failed = F.raise_error(F.concat(F.lit(f"symbols nested deeper than {depth} in "), path)).cast("boolean")
-    rows = rows.where(F.when(too_deep, failed).otherwise(True))
+    failed = F.raise_error(F.concat(F.lit(f"symbols nested deeper than {depth} in "), path)).cast(_NODE)
     keep = [c for c in files.columns if c != "symbols"]
-    nodes = F.explode(F.concat(*[F.col(f"__l{i}") for i in range(depth)])).alias("n")
+    # the check stands inside the explode: as a filter it would be pushed down and make every level once more
+    found = F.concat(*[F.col(f"__l{i}") for i in range(depth)])
+    nodes = F.explode(F.when(too_deep, failed).otherwise(found)).alias("n")
     v = F.col("n.v")
     return rows.select(*keep, nodes).select(
         *keep,
