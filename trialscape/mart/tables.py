@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from trialscape import fixed, schemas
 from trialscape.operators import facts as facts_ops
 from trialscape.operators import votes as vote_ops
-from trialscape.operators.latest import latest, latest_of
+from trialscape.operators.latest import last_rows, latest, latest_of
 from trialscape.operators.pending import fill_from_trials
 from trialscape.operators.runs import RESPONSE_COLUMNS, measure_answers
 
@@ -178,9 +178,9 @@ def latest_responses(spark: SparkSession, sf_dir: str, text: bool = True) -> Dat
     """The latest response of each trial with what a run shows of its dimensions. Lines are reduced before they meet
     their trials, and again after it, as a trial may be planned twice."""
     log = response_log(spark, sf_dir)
-    last = latest(log if text else measure_answers(log), ["trialId"])
+    last = last_rows(log if text else measure_answers(log), ["trialId"])
     filled = fill_from_trials(last, trials(spark, sf_dir).drop("seq"))
-    return latest_of(filled, ["trialId"], [c for c in RESPONSE_COLUMNS if c in filled.columns])
+    return last_rows(filled, ["trialId"]).select("trialId", *[c for c in RESPONSE_COLUMNS if c in filled.columns])
 
 
 def votes(spark: SparkSession, sf_dir: str, experiments: bool = False) -> DataFrame:
@@ -222,16 +222,17 @@ def latest_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One evaluation per trial whose latest response succeeded."""
-    answered = latest(
+    answered = last_rows(
         response_log(spark, sf_dir).select("trialId", "seq", "status", "metricsSummary.reservedTokens"), ["trialId"]
     ).where("status = 'success'").select("trialId", (F.col("reservedTokens") - 10).alias("qty"))
     ratings = F.struct(*[
         F.when(F.col(f"criterias.{c}").isNotNull(), F.struct(F.col(f"criterias.{c}.rating").alias("rating"))).alias(c)
         for c in vote_ops.CRITERIA
     ])
-    last = latest(votes(spark, sf_dir).select(
-        "trialId", "judgeId", "seq", "error", ratings.alias("criterias"), "inputTokens", "outputTokens", "durationMs"
-    ), ["trialId", "judgeId"])
+    last = latest_of(
+        votes(spark, sf_dir).withColumn("criterias", ratings), ["trialId", "judgeId"],
+        ["error", "criterias", "inputTokens", "outputTokens", "durationMs"],
+    )
     t = trials(spark, sf_dir).drop("seq")
     rows = (
         t.join(answered, "trialId", "inner")

@@ -9,7 +9,7 @@ from trialscape import fixed
 from trialscape.functions.scalar import (
     join_tags, lookup, seconds, sum_non_null, truncate, variant_array, variant_bool01, variant_object,
 )
-from trialscape.operators.latest import latest
+from trialscape.operators.latest import last_rows
 from trialscape.operators.votes import has_error
 from trialscape.sources.traces import payload
 
@@ -117,10 +117,13 @@ def build_trial_facts(
 
     All sides are cut to what the facts show and reduced to one row per trial before they meet, so
     the joins share the partitioning on ``trialId``, no key repeats, and no response text travels."""
-    r = latest(responses.select("trialId", seq, *_response_columns()), ["trialId"], seq)
-    r = r.select("trialId", F.struct(*[c for c in r.columns if c not in ("trialId", seq)]).alias("r"))
-    e = latest(evals.select("trialId", seq, *_eval_columns()), ["trialId"], seq)
-    e = e.select("trialId", F.struct(*[c for c in e.columns if c not in ("trialId", seq)]).alias("e"))
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        """Plain columns, so that those that nobody shows don't travel."""
+        own = [F.col(c).alias(f"__{name}_{c}") for c in rows.columns if c not in ("trialId", seq)]
+        return rows.select("trialId", F.lit(True).alias(f"__{name}"), *own)
+
+    r = side(last_rows(responses.select("trialId", seq, *_response_columns()), ["trialId"], seq), "r")
+    e = side(last_rows(evals.select("trialId", seq, *_eval_columns()), ["trialId"], seq), "e")
     joined = trials.join(r, "trialId", "left").join(e, "trialId", "left").join(
         vote_spread(votes), "trialId", "left"
     )
@@ -168,14 +171,14 @@ def _eval_columns() -> list[Column]:
 
 def _fact_columns() -> list[Column]:
     f = F.col
-    m = lambda name: f(f"r.{name}")
-    method = f("e.evaluationMethod")
-    ratings = f("e.correctness"), f("e.completeness")
-    agreed = [f("e.correctnessAgreed"), f("e.completenessAgreed")]
+    m = lambda name: f(f"__r_{name}")
+    method = f("__e_evaluationMethod")
+    ratings = f("__e_correctness"), f("__e_completeness")
+    agreed = [f("__e_correctnessAgreed"), f("__e_completenessAgreed")]
     judged = method == fixed.JUDGE_METHOD
     false = lambda c: F.coalesce(c, F.lit(False))
-    exec_trace = false(f("__trace")) | false(f("r.traced"))
-    eval_trace = false(f("__eval_trace")) | false(f("e.traced"))
+    exec_trace = false(f("__trace")) | false(f("__r_traced"))
+    eval_trace = false(f("__eval_trace")) | false(f("__e_traced"))
     unanimous = (
         F.when(f("__valid") >= 2, f("__one"))
         .when(F.coalesce(f("__votes"), F.lit(0)) > 0, F.lit(None))
@@ -187,8 +190,8 @@ def _fact_columns() -> list[Column]:
         f("trialId"), f("instanceId"), f("taskId"), join_tags("taskTags").alias("taskTags"), f("provider"),
         f("modelId"), F.coalesce(F.nullif(f("modelName"), F.lit("")), f("model")).alias("modelName"),
         f("strategy"), f("representation"), f("surface"), f("configurationId"), f("repeatIndex"),
-        f("r").isNotNull().alias("response_present"), f("r.status").alias("execution_status"),
-        f("e").isNotNull().alias("evaluation_present"), f("e.status").alias("evaluation_status"),
+        f("__r").isNotNull().alias("response_present"), f("__r_status").alias("execution_status"),
+        f("__e").isNotNull().alias("evaluation_present"), f("__e_status").alias("evaluation_status"),
         method.alias("evaluation_method"),
         method_consistent(f("validationType"), method).alias("evaluation_method_consistent"),
         m("inputTokens").alias("input_tokens"), m("outputTokens").alias("output_tokens"),
@@ -201,27 +204,27 @@ def _fact_columns() -> list[Column]:
         m("functionCalls").alias("function_calls"), m("mcpToolCalls").alias("mcp_tool_calls"),
         m("steps").alias("steps"),
         primary_name(method).alias("primary_metric_name"),
-        primary_success(method, *ratings, f("e.passed")).alias("primary_success"),
-        primary_score(method, *ratings, f("e.bestSimilarScore")).alias("primary_score"),
-        f("e.evaluationInputTokens").alias("evaluation_input_tokens"),
-        f("e.evaluationOutputTokens").alias("evaluation_output_tokens"),
-        f("e.evaluationDurationMs").alias("evaluation_duration_ms"),
-        F.when(judged, f("e.judgeCount")).alias("judge_count"),
-        F.when(judged, f("e.judgeErrorCount")).alias("judge_error_count"),
+        primary_success(method, *ratings, f("__e_passed")).alias("primary_success"),
+        primary_score(method, *ratings, f("__e_bestSimilarScore")).alias("primary_score"),
+        f("__e_evaluationInputTokens").alias("evaluation_input_tokens"),
+        f("__e_evaluationOutputTokens").alias("evaluation_output_tokens"),
+        f("__e_evaluationDurationMs").alias("evaluation_duration_ms"),
+        F.when(judged, f("__e_judgeCount")).alias("judge_count"),
+        F.when(judged, f("__e_judgeErrorCount")).alias("judge_error_count"),
         F.when(judged, (agreed[0].cast("int").cast("double") + agreed[1].cast("int").cast("double")) / 2.0)
         .alias("judge_agreement_mean"),
         F.when(judged, unanimous).alias("judge_unanimous"),
         (exec_trace | eval_trace).alias("trace_available"),
         exec_trace.alias("execution_trace_available"), eval_trace.alias("eval_trace_available"),
-        false(f("r.filled")).alias("raw_response_available"),
+        false(f("__r_filled")).alias("raw_response_available"),
         (F.coalesce(m("toolCalls"), m("functionCalls"), m("mcpToolCalls")).isNotNull() | false(f("__tool")))
         .alias("tool_calls_observable"),
         native.alias("native_mcp_observable"),
         f("__server").alias("server_mcp_observable"),
         F.coalesce(m("inputTokens"), m("outputTokens"), m("totalTokens")).isNotNull().alias("usage_observable"),
-        (filled(f("r.errorMessage")) | false(f("__error"))).alias("error_observable"),
-        f("r.errorMessage").alias("error_message"),
-        f("r.excerpt").alias("response_excerpt"),
+        (filled(f("__r_errorMessage")) | false(f("__error"))).alias("error_observable"),
+        f("__r_errorMessage").alias("error_message"),
+        f("__r_excerpt").alias("response_excerpt"),
     ]
 
 

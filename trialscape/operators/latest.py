@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,10 +24,22 @@ def latest(df: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     )
 
 
+def last_rows(df: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
+    """As :func:`latest`, for wide rows of which a later step shows a few columns: only these travel, and ``seq``
+    travels once, as the rows stay columns. Spark's group limit keeps one row per key before the shuffle."""
+    order = Window.partitionBy(*keys).orderBy(F.col(seq).desc())
+    known = df.where(F.col(keys[0]).isNotNull() & (F.col(keys[0]).cast("string") != ""))
+    return known.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
+
+
 def latest_of(df: DataFrame, keys: list[str], columns: list[str], seq: str = "seq") -> DataFrame:
-    """As :func:`latest`, but only some columns travel."""
-    return latest(df.select(*dict.fromkeys([*keys, *columns, seq])), keys, seq).drop(
-        *([] if seq in columns else [seq])
+    """As :func:`latest`, but only some columns travel, and ``seq`` not twice."""
+    payload = [c for c in dict.fromkeys(columns) if c not in keys]
+    return (
+        df.where(F.col(keys[0]).isNotNull() & (F.col(keys[0]).cast("string") != ""))
+        .groupBy(*keys)
+        .agg(F.max_by(F.struct(*payload), F.col(seq)).alias("__row"))
+        .select(*keys, "__row.*")
     )
 
 

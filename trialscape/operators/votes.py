@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trialscape import fixed
 from trialscape.functions.scalar import literal_map, sum_non_null
-from trialscape.operators.latest import latest
+from trialscape.operators.latest import last_rows
 
 CRITERIA = ("correctness", "completeness")
 
@@ -115,7 +115,7 @@ def vote_consensus(long: DataFrame, expected: DataFrame | int, judges: list[str]
     ``expected`` is the table of judges (or their number). ``judges`` adds one column each.
     The list built per group is bounded by the number of judges."""
     total = F.lit(expected) if isinstance(expected, int) else expected.agg(F.count_distinct("judgeId")).scalar()
-    last = latest(long.select("trialId", "criterion", "judgeId", "rating", seq), ["trialId", "criterion", "judgeId"], seq)
+    last = last_rows(long.select("trialId", "criterion", "judgeId", "rating", seq), ["trialId", "criterion", "judgeId"], seq)
     known = F.col("judgeId").isNotNull()
     pair = F.when(known & F.col("rating").isNotNull(), F.struct("judgeId", "rating"))
     grouped = last.groupBy("trialId", "criterion").agg(
