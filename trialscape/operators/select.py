@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trialscape import fixed
 from trialscape.functions.scalar import first_usable
+from trialscape.operators.pending import fill_from_trials
 
 COLUMN_OF = {
     "provider": "provider",
@@ -152,16 +153,24 @@ def trial_detail(responses: DataFrame, evals: DataFrame, votes: DataFrame, trial
     return rows.orderBy("trialId", "part", "__s").select("trialId", "kind", body.alias("body"))
 
 
-def trial_object(responses: DataFrame, evals: DataFrame, votes: DataFrame, trial_id: str | None = None, seq: str = "seq") -> DataFrame:
+def trial_object(responses: DataFrame, evals: DataFrame, votes: DataFrame, trial_id: str | None = None, seq: str = "seq",
+                 trials: DataFrame | None = None) -> DataFrame:
     """FLT-8: one JSON object per trial with a response: its identity, model, tags, status, response, measurements,
-    parameters and metadata, the latest evaluation and all votes in order (null where there are none)."""
+    parameters and metadata, the latest evaluation and all votes in order (null where there are none). ``trials`` fill
+    what the first response lacks, once it is picked; a log that has these columns needs none."""
     def part(df: DataFrame) -> DataFrame:
         return df if trial_id is None else df.where(F.col("trialId") == trial_id)
 
     def whole(df: DataFrame) -> Column:
         return F.struct(*[c for c in df.columns if c != seq])
 
-    first = part(responses).groupBy("trialId").agg(F.min_by(F.struct(*responses.columns), F.col(seq)).alias("r"))
+    def earliest(df: DataFrame) -> DataFrame:
+        return df.groupBy("trialId").agg(F.min_by(F.struct(*df.columns), F.col(seq)).alias("r"))
+
+    first = earliest(part(responses))
+    if trials is not None:
+        responses = fill_from_trials(first.select("r.*"), trials)
+        first = earliest(responses)  # a trial may be planned twice
     last = part(evals).groupBy("trialId").agg(F.max_by(whole(evals), F.col(seq)).alias("evaluation"))
     each = part(votes).groupBy("trialId").agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.to_json(whole(votes)).alias("v")))).alias("v"))
     given = [c for c in fixed.DETAIL_FIELDS if c in responses.columns]
