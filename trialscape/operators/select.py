@@ -172,7 +172,7 @@ def trial_object(responses: DataFrame, evals: DataFrame, votes: DataFrame, trial
         responses = fill_from_trials(first.select("r.*"), trials)
         first = earliest(responses)  # a trial may be planned twice
     last = part(evals).groupBy("trialId").agg(F.max_by(whole(evals), F.col(seq)).alias("evaluation"))
-    each = part(votes).groupBy("trialId").agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.to_json(whole(votes)).alias("v")))).alias("v"))
+    each = part(votes).groupBy("trialId").agg(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.to_json(whole(votes)).alias("v")))).alias("v"))
     given = [c for c in fixed.DETAIL_FIELDS if c in responses.columns]
     model = F.struct(*[F.col(f"r.{old}").alias(new) for old, new in (("modelId", "id"), ("modelName", "name")) if old in responses.columns])
     renamed = {"taskTags": "tags", "metricsSummary": "metrics", "repeatIndex": "index"}
