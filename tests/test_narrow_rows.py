@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from test_wide_logs import small_tables
 
-from trialscape.mart import q_facts, q_read
+from trialscape.mart import q_facts, q_read, q_study
 from trialscape.mart import tables as m
 from trialscape.operators import latest as latest_ops
 from trialscape.operators import select as select_ops
@@ -45,3 +45,24 @@ def test_trial_object_picks_the_first_response_before_it_meets_its_trial(spark,
     after = select_ops.trial_object(log, *given, trials=m.trials(spark, sf).drop("seq"))
     read = lambda df: sorted(tuple(r) for r in df.select("trialId", F.get_json_object("detail", "$.response"), F.get_json_object("detail", "$.tags"), F.get_json_object("detail", "$.judgeVotes")).collect())
     assert read(before) == read(after) and len(read(after)) == 4
+
+
+def test_lines_by_trial_are_all_lines_in_buckets_that_grow_in_number_only(spark, tmp_path, monkeypatch):
+    sf = small_tables(spark, tmp_path / "tables")
+    more = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber < 3")
+    more.unionByName(more.withColumn("l_orderkey", F.lit(None).cast("long"))).write.mode("append").parquet(f"{sf}/lineitem.parquet")
+    stored = m.stored_bytes(spark, f"{sf}/lineitem.parquet")
+    monkeypatch.setattr(m, "BUCKET", stored // 5 + 1)
+    kept = m.lines_by_trial(spark, sf)
+    read = lambda df: sorted(map(str, df.select(*kept.columns).collect()))
+    assert read(kept) == read(m.lines(spark, sf)) and kept.where("trialId IS NULL").count() == 8
+    assert "5 out of 5" in kept.groupBy("trialId").count()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_votes_and_responses_are_not_shuffled_again_once_they_lie_by_trial(spark, tmp_path, monkeypatch):
+    sf = small_tables(spark, tmp_path)
+    monkeypatch.setattr(m, "BUCKET", 1000)
+    for query in (q_facts.total_calls, q_facts.summary, q_study.worst_tasks, q_study.pareto, q_study.category_pivot):
+        plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(trialId" in line]
+        assert moved and not any("judgeId" in line or "criterion" in line for line in moved), query.__name__

@@ -105,8 +105,8 @@ FROM x_tops JOIN (
 USING (trialId, criterion)""")
 
 
-def consensus(spark, sf):
-    votes = m.votes(spark, sf)
+def consensus(spark, sf, li=None):
+    votes = m.votes(spark, sf, li=li)
     return vote_ops.vote_consensus(vote_ops.votes_long(votes), vote_ops.expected_judges(None, votes))
 
 

@@ -14,11 +14,12 @@ from trialscape.operators import votes as vote_ops
 
 def runs(spark, sf, text=False):
     """The run table; only listings that show answers ask for their texts."""
+    li = m.lines_by_trial(spark, sf)
     return runs_ops.build_runs(
-        m.latest_responses(spark, sf, text),
-        m.evals(spark, sf).drop("seq"),
-        m.votes(spark, sf),
-        consensus(spark, sf),
+        m.latest_responses(spark, sf, text, li),
+        m.evals(spark, sf, li).drop("seq"),
+        m.votes(spark, sf, li=li),
+        consensus(spark, sf, li),
         latest_ops.task_meta(m.trials(spark, sf)),
     )
 
