@@ -439,3 +439,17 @@ def test_texts_just_below_the_threshold(spark, monkeypatch):
     found = {r.doc_id: r.component_id for r in setsketch.near_duplicates(docs, words=2).collect()}
     assert found == brute_near(rows, 2) and len(set(found.values())) < len(found)
     assert len(sizes) == 2 and sizes[1] <= sizes[0]
+
+
+def test_a_shard_of_many_documents_holds_little_and_scores_alike(monkeypatch):
+    rng = np.random.default_rng(5)
+    at = np.arange(0, 3001 * 20, 20)
+    ids = np.minimum(rng.zipf(1.3, at[-1]), 999).astype("<u2")
+    frequency = np.bincount(np.concatenate([np.unique(ids[a : a + 20]) for a in at[:-1]]), minlength=1000).clip(1).astype(float)
+    shard = packing.Shard(ids, at, frequency, 3000, 20.0)
+    assert len(shard.common) and sum(a.nbytes for a in vars(shard).values() if isinstance(a, np.ndarray)) < 40 << 20
+    monkeypatch.setattr(packing, "TOGETHER", 3000)
+    other = packing.Shard(ids, at, frequency, 3000, 20.0)
+    assert shard.table is None and other.table is not None
+    for seed in (0, 7, 2999):
+        assert set(shard.neighbours(seed)) == set(other.neighbours(seed))

@@ -25,8 +25,9 @@ KEYS, SHARP = 3, 4.0
 """Terms drawn for a document's place, and the power of a term's rarity that weighs the draw."""
 COMMON = 8
 """A term that at least one in so many documents of a shard holds is scored for all of them at once."""
-TOGETHER = 4096
-"""Shards of at most so many documents have the scores of common terms in one product."""
+TOGETHER = 2048
+"""Shards of at most so many documents have the scores of common terms in one product, a table of 32 MB at most;
+in others each seed has a product of its own, with the same scores."""
 
 ADDED = {"<|endoftext|>": 50256}
 """The added token of the vocabulary ``byte_bpe_50k``."""
@@ -41,24 +42,41 @@ class Shard:
     """A BM25 index over documents given as token ids; ``frequency`` and ``mean`` describe the whole corpus."""
 
     def __init__(self, ids: np.ndarray, at: np.ndarray, frequency: np.ndarray, documents: int, mean: float):
-        owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        codes, counts = np.unique(owner << 32 | ids.astype(np.int64), return_counts=True)
-        owner, term = codes >> 32, codes & 0xFFFFFFFF
-        rare = np.log1p((documents - frequency + 0.5) / (frequency + 0.5))
-        length = np.diff(at)[owner] / max(mean, 1e-9)
-        weight = rare[term] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * length))
+        # as many tasks as cores hold one each: worked in place, the narrow columns are 32 bits wide
+        codes = np.repeat(np.arange(len(at) - 1) << 32, np.diff(at))
+        codes |= ids
+        codes.sort()
+        first = np.ones(len(codes), bool)
+        first[1:] = codes[1:] != codes[:-1]
+        first = np.flatnonzero(first)
+        counts = np.diff(first, append=len(codes))
+        codes = codes[first]
+        owner, term = (codes >> 32).astype(np.int32), codes.astype(np.int32)
+        del first, codes
+        below = np.diff(at)[owner] / max(mean, 1e-9)
+        below *= B
+        below += 1 - B
+        below *= K1
+        below += counts
+        weight = np.log1p((documents - frequency + 0.5) / (frequency + 0.5))[term]
+        weight *= counts
+        weight *= K1 + 1
+        weight /= below
+        del below, counts
         self.documents = len(at) - 1
         self.terms, self.weights = term, weight
         self.of = np.searchsorted(owner, np.arange(self.documents + 1))
         order = np.argsort(term, kind="stable")
         self.posting_docs, self.posting_weights = owner[order], weight[order]
         self.posting_at = np.searchsorted(term[order], np.arange(len(frequency) + 1))
+        del order
         common = np.flatnonzero(np.diff(self.posting_at) * COMMON >= max(self.documents, 1))
         self.row = np.full(len(frequency), -1)
         self.row[common] = np.arange(len(common))
         self.common = np.zeros((len(common), self.documents))
         shared = self.row[term] >= 0
         self.common[self.row[term[shared]], owner[shared]] = weight[shared]
+        del shared, owner
         self.table = (self.common > 0).T.astype(float) @ self.common if self.documents <= TOGETHER else None
 
     def neighbours(self, seed: int) -> np.ndarray:
@@ -66,7 +84,12 @@ class Shard:
         to nine places, ties go to the smaller place."""
         own = self.terms[self.of[seed] : self.of[seed + 1]]
         row = self.row[own]
-        score = self.table[seed] if self.table is not None else self.common[row[row >= 0]].sum(axis=0)
+        if self.table is None:
+            held = np.zeros(len(self.common))
+            held[row[row >= 0]] = 1
+            score = held @ self.common
+        else:
+            score = self.table[seed]
         first = self.posting_at[own[row < 0]]
         counts = self.posting_at[own[row < 0] + 1] - first
         ends = np.cumsum(counts)
@@ -266,7 +289,8 @@ def pack_documents(
             lengths = np.diff(at)
             doc, start, length, sequence, offset = np.array(fill(Shard(ids, at, *corpus.value), lengths, window), np.int64).T
             cells = np.concatenate(([0], np.cumsum(length)))
-            which = np.arange(cells[-1]) + np.repeat(at[doc] + start - cells[:-1], length)
+            which = np.repeat(at[doc] + start - cells[:-1], length)
+            which += np.arange(cells[-1])
             yield from pa.table({
                 "doc_id": group.column(0).take(pa.array(doc)), "start": start, "length": length,
                 "ids": blobs(ids[which].astype("<u4"), cells), "doc_tokens": lengths[doc],
