@@ -27,7 +27,7 @@ COMMON = 8
 """A term that at least one in so many documents of a shard holds is scored for all of them at once."""
 TOGETHER = 2048
 """Shards of at most so many documents have the scores of common terms in one product, a table of 32 MB at most;
-in others each seed has a product of its own, with the same scores."""
+in others each seed has a product of its own; its sums may round otherwise."""
 
 ADDED = {"<|endoftext|>": 50256}
 """The added token of the vocabulary ``byte_bpe_50k``."""
