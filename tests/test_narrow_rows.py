@@ -66,3 +66,36 @@ def test_votes_and_responses_are_not_shuffled_again_once_they_lie_by_trial(spark
         plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
         moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(trialId" in line]
         assert moved and not any("judgeId" in line or "criterion" in line for line in moved), query.__name__
+
+
+def exchanges(spark, query, sf) -> tuple[int, int]:
+    """How often a query deals rows by trial and by range."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    return plan.count("Exchange hashpartitioning(trialId"), plan.count("Exchange rangepartitioning(trialId")
+
+
+def test_objects_of_trials_meet_where_their_lines_lie(spark, tmp_path, monkeypatch):
+    """Only planned trials are dealt, once for responses and once for evaluations."""
+    sf = small_tables(spark, tmp_path)
+    monkeypatch.setattr(m, "BUCKET", 1000)
+    assert exchanges(spark, q_read.trial_object, sf) == (2, 0)
+
+
+def test_trial_object_carries_shown_columns_and_lists_equal_votes_by_their_text(spark):
+    responses = spark.createDataFrame([("a", 2, "later", "x"), ("a", 1, None, "x"), ("b", 1, "yes", "x")], "trialId STRING, seq INT, response STRING, unseen STRING")
+    trials = spark.createDataFrame([("a", "m1", "u"), ("a", "m1", "u")], "trialId STRING, modelId STRING, unseen STRING")
+    evals = spark.createDataFrame([("a", 1, "error"), ("a", 2, None)], "trialId STRING, seq INT, status STRING")
+    votes = spark.createDataFrame([("a", 2, "j1", {"k": "v"}), ("a", 1, "j3", None), ("a", 1, "j2", None)], "trialId STRING, seq INT, judgeId STRING, notes MAP<STRING, STRING>")
+    found = select_ops.trial_object(responses, evals, votes, trials=trials)
+    assert not any("unseen" in line for line in plan_of(found).splitlines() if "min_by" in line)
+    assert {r.trialId: r.detail for r in found.collect()} == {
+        "a": '{"trialId":"a","response":null,"model":{"id":"m1"},"evaluation":{"trialId":"a"},"judgeVotes":['
+             '{"judgeId":"j2","trialId":"a"},{"judgeId":"j3","trialId":"a"},{"judgeId":"j1","notes":{"k":"v"},"trialId":"a"}]}',
+        "b": '{"trialId":"b","response":"yes","model":{"id":null},"evaluation":null,"judgeVotes":null}',
+    }

@@ -156,7 +156,8 @@ LEFT JOIN (SELECT trialId, ev_status FROM x_evals) e USING (trialId) LEFT JOIN (
   FROM (SELECT *, CAST(l_orderkey AS VARCHAR) AS trialId, 'judge' || (l_suppkey % 3) AS judgeId FROM lineitem)) GROUP BY trialId) v USING (trialId)""")
 def trial_object(spark, sf):
     """Every trial as one JSON object, some of its parts read again."""
-    rows = select_ops.trial_object(m.response_log(spark, sf), m.evals(spark, sf), m.votes(spark, sf), trials=m.trials(spark, sf).drop("seq"))
+    li = m.lines_by_trial(spark, sf)
+    rows = select_ops.trial_object(m.response_log(spark, sf, li=li), m.evals(spark, sf, li), m.votes(spark, sf, li=li), trials=m.trials(spark, sf).drop("seq"))
     body = "status STRING, model STRUCT<id: STRING>, tags ARRAY<STRING>, metrics STRUCT<totalTokens: DOUBLE>, evaluation STRUCT<status: STRING>, judgeVotes ARRAY<STRUCT<judgeId: STRING>>"
     return rows.withColumn("d", F.from_json("detail", body)).select(
         "trialId", "d.status", F.col("d.model.id").alias("model"), F.array_join("d.tags", ",").alias("tags"), F.col("d.metrics.totalTokens").alias("tokens"),

@@ -157,27 +157,36 @@ def trial_object(responses: DataFrame, evals: DataFrame, votes: DataFrame, trial
                  trials: DataFrame | None = None) -> DataFrame:
     """FLT-8: one JSON object per trial with a response: its identity, model, tags, status, response, measurements,
     parameters and metadata, the latest evaluation and all votes in order (null where there are none). ``trials`` fill
-    what the first response lacks, once it is picked; a log that has these columns needs none."""
+    what the first response lacks, once it is picked; a log that has these columns needs none. Only shown columns
+    travel, the id as the key by which all parts meet, and votes become JSON once they have met their trial."""
+    shown = [*fixed.DETAIL_FIELDS, "modelId", "modelName"]
+
     def part(df: DataFrame) -> DataFrame:
         return df if trial_id is None else df.where(F.col("trialId") == trial_id)
 
     def whole(df: DataFrame) -> Column:
         return F.struct(*[c for c in df.columns if c != seq])
 
-    def earliest(df: DataFrame) -> DataFrame:
-        return df.groupBy("trialId").agg(F.min_by(F.struct(*df.columns), F.col(seq)).alias("r"))
+    def earliest(df: DataFrame, *more: str) -> DataFrame:
+        own = [c for c in df.columns if c != "trialId" and c in (*shown, *more)]
+        return df.groupBy("trialId").agg(F.min_by(F.struct(*own), F.col(seq)).alias("r"))
 
-    first = earliest(part(responses))
     if trials is not None:
-        responses = fill_from_trials(first.select("r.*"), trials)
+        first = earliest(part(responses), seq)
+        responses = fill_from_trials(first.select("trialId", "r.*"), trials.select(*[c for c in trials.columns if c in shown]))
         first = earliest(responses)  # a trial may be planned twice
+    else:
+        first = earliest(part(responses))
     last = part(evals).groupBy("trialId").agg(F.max_by(whole(evals), F.col(seq)).alias("evaluation"))
-    each = part(votes).groupBy("trialId").agg(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.to_json(whole(votes)).alias("v")))).alias("v"))
+    listed = F.collect_list(F.struct(F.col(seq).alias("s"), whole(votes).alias("v")))
+    each = part(votes).groupBy("trialId").agg(listed.alias("v"))
     given = [c for c in fixed.DETAIL_FIELDS if c in responses.columns]
     model = F.struct(*[F.col(f"r.{old}").alias(new) for old, new in (("modelId", "id"), ("modelName", "name")) if old in responses.columns])
     renamed = {"taskTags": "tags", "metricsSummary": "metrics", "repeatIndex": "index"}
-    body = F.struct(*[F.col(f"r.{c}").alias(renamed.get(c, c)) for c in given], model.alias("model"), F.parse_json(F.to_json("evaluation")).alias("evaluation"),
-                    F.transform("v", lambda x: F.parse_json(x["v"])).alias("judgeVotes"))
+    head = [F.col("trialId" if c == "trialId" else f"r.{c}").alias(renamed.get(c, c)) for c in given]
+    texts = F.sort_array(F.transform("v", lambda x: F.struct(x["s"].alias("s"), F.to_json(x["v"]).alias("v"))))
+    body = F.struct(*head, model.alias("model"), F.parse_json(F.to_json("evaluation")).alias("evaluation"),
+                    F.transform(texts, lambda x: F.parse_json(x["v"])).alias("judgeVotes"))
     joined = first.join(last, "trialId", "left").join(each, "trialId", "left")
     return joined.select("trialId", F.to_json(body, {"ignoreNullFields": "false"}).alias("detail"))
 
