@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from test_wide_logs import small_tables
 
-from trialscape.mart import q_facts, q_read, q_study
+from trialscape.mart import q_facts, q_ops, q_read, q_study
 from trialscape.mart import tables as m
 from trialscape.operators import latest as latest_ops
 from trialscape.operators import select as select_ops
@@ -99,3 +99,27 @@ def test_trial_object_carries_shown_columns_and_lists_equal_votes_by_their_text(
              '{"judgeId":"j2","trialId":"a"},{"judgeId":"j3","trialId":"a"},{"judgeId":"j1","notes":{"k":"v"},"trialId":"a"}]}',
         "b": '{"trialId":"b","response":"yes","model":{"id":null},"evaluation":null,"judgeVotes":null}',
     }
+
+
+def test_details_are_dealt_by_range_only_once_lines_lie_by_trial(spark, tmp_path, monkeypatch):
+    sf = small_tables(spark, tmp_path)
+    monkeypatch.setattr(m, "BUCKET", 1000)
+    assert exchanges(spark, q_ops.trial_detail, sf) == (1, 1)
+
+
+def test_details_carry_their_id_once_and_any_number_of_ranges_gives_the_same_order(spark):
+    log = spark.createDataFrame([("first", "a", 1), ("second", "a", 2), (None, "b", 1), ("nobody", None, 1)], "response STRING, trialId STRING, seq INT")
+    evals = spark.createDataFrame([("a", 1, None)], "trialId STRING, seq INT, status STRING")
+    votes = spark.createDataFrame([("a", 9, "j2"), ("a", 8, "j1"), ("c", 1, None)], "trialId STRING, seq INT, judgeId STRING")
+    found = select_ops.trial_detail(log, evals, votes)
+    moved = next(line for line in plan_of(found).splitlines() if "Sort [" in line)
+    assert moved and "struct(trialId" not in plan_of(found)[plan_of(found).index(moved):] and "struct(response" in plan_of(found)
+    expected = [
+        (None, "response", '{"response":"nobody"}'), ("a", "response", '{"response":"first","trialId":"a"}'), ("a", "evaluation", '{"trialId":"a"}'),
+        ("a", "vote", '{"trialId":"a","judgeId":"j1"}'), ("a", "vote", '{"trialId":"a","judgeId":"j2"}'), ("b", "response", '{"trialId":"b"}'), ("c", "vote", '{"trialId":"c"}'),
+    ]
+    for ranges in (None, 1, 3):
+        rows = select_ops.trial_detail(log, evals, votes, ranges=ranges)
+        assert [tuple(r) for r in rows.collect()] == expected
+        assert ranges is None or rows.rdd.getNumPartitions() <= ranges
+    assert [r.kind for r in select_ops.trial_detail(log, evals, votes, "a", ranges=2).collect()] == ["response", "evaluation", "vote", "vote"]

@@ -73,7 +73,9 @@ def successful_text(spark, sf):
 SELECT trialId, 'response' AS kind, status, CAST(NULL AS VARCHAR) AS judgeId FROM (SELECT *, row_number() OVER (PARTITION BY trialId ORDER BY back DESC) AS f FROM x_log) WHERE f = 1
 UNION ALL SELECT trialId, 'evaluation', ev_status, NULL FROM x_evals UNION ALL SELECT trialId, 'vote', status, judgeId FROM x_votes""")
 def trial_detail(spark, sf):
-    rows = select_ops.trial_detail(m.response_log(spark, sf), m.evals(spark, sf), m.votes(spark, sf))
+    li = m.lines_by_trial(spark, sf)
+    ranges = max(m.buckets(spark, sf), spark.sparkContext.defaultParallelism)
+    rows = select_ops.trial_detail(m.response_log(spark, sf, li=li), m.evals(spark, sf, li), m.votes(spark, sf, li=li), ranges=ranges)
     return rows.select("trialId", "kind", F.get_json_object("body", "$.status").alias("status"), F.get_json_object("body", "$.judgeId").alias("judgeId"))
 
 

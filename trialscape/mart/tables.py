@@ -128,15 +128,19 @@ def lines(spark: SparkSession, sf_dir: str, experiments: bool = False) -> DataFr
     return li.join(own, "l_orderkey")
 
 
+def buckets(spark: SparkSession, sf_dir: str) -> int:
+    return max(1, -(-stored_bytes(spark, f"{sf_dir}/lineitem.parquet") // BUCKET))
+
+
 def lines_by_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All log lines, written once in buckets of their trial. Jobs that read the logs several times pass them to each
     reader: the narrow lines are shuffled once, and what is reduced or joined by trial stays in its bucket. A bucket
     holds about ``BUCKET`` bytes of the table, so none outgrows the memory of a task as the table grows."""
     li = lines(spark, sf_dir).drop("l_orderkey")
-    buckets = max(1, -(-stored_bytes(spark, f"{sf_dir}/lineitem.parquet") // BUCKET))
+    n = buckets(spark, sf_dir)
     path = scratch_path(spark, "lines")
     name = f"lines_{path.rsplit('-', 1)[1]}"
-    li.repartition(buckets, "trialId").write.bucketBy(buckets, "trialId").sortBy("trialId").saveAsTable(name, format="parquet", path=path)
+    li.repartition(n, "trialId").write.bucketBy(n, "trialId").sortBy("trialId").saveAsTable(name, format="parquet", path=path)
     return spark.table(name)
 
 

@@ -130,27 +130,35 @@ def semi(df: DataFrame, ids: DataFrame, key: str = "trialId") -> DataFrame:
 
 
 def trial_detail(responses: DataFrame, evals: DataFrame, votes: DataFrame, trial_id: str | None = None,
-                 seq: str = "seq") -> DataFrame:
+                 seq: str = "seq", ranges: int | None = None) -> DataFrame:
     """FLT-8: everything about a trial (or about every trial) as JSON rows: the first response, the
     latest evaluation and each vote in order. An id filter reaches all three scans. Rows are picked and sorted as
-    they are and written as JSON last, as the text is several times as wide."""
+    they are, without a second copy of their id, and written as JSON last, as the text is several times as wide.
+    They are sorted in so many ``ranges``, or in as many as the session has partitions."""
     order_type = votes.schema[seq].dataType
+    kinds = {"response": responses, "evaluation": evals, "vote": votes}
 
     def part(df: DataFrame) -> DataFrame:
         rows = df if trial_id is None else df.where(F.col("trialId") == trial_id)
-        return rows.select("trialId", F.col(seq).alias("__s"), F.struct(*[c for c in df.columns if c != seq]).alias("body"))
+        return rows.select("trialId", F.col(seq).alias("__s"), F.struct(*[c for c in df.columns if c not in ("trialId", seq)]).alias("body"))
 
     def one(df: DataFrame, rank: int, kind: str, pick) -> DataFrame:
         return part(df).groupBy("trialId").agg(pick("body", "__s").alias(kind)).select(
-            "trialId", F.lit(rank).alias("part"), F.lit(kind).alias("kind"), F.lit(None).cast(order_type).alias("__s"), kind
+            "trialId", F.lit(rank).alias("part"), F.lit(None).cast(order_type).alias("__s"), kind
         )
 
-    each = part(votes).select("trialId", F.lit(2).alias("part"), F.lit("vote").alias("kind"), "__s", F.col("body").alias("vote"))
+    def written(kind: str) -> Column:
+        fields = [F.col("trialId" if c == "trialId" else f"{kind}.`{c}`").alias(c) for c in kinds[kind].columns if c != seq]
+        return F.to_json(F.when(F.col(kind).isNotNull(), F.struct(*fields)))
+
     rows = one(responses, 0, "response", F.min_by)
+    each = part(votes).select("trialId", F.lit(2).alias("part"), "__s", F.col("body").alias("vote"))
     for other in (one(evals, 1, "evaluation", F.max_by), each):
         rows = rows.unionByName(other, allowMissingColumns=True)
-    body = F.coalesce(*[F.to_json(c) for c in ("response", "evaluation", "vote")])
-    return rows.orderBy("trialId", "part", "__s").select("trialId", "kind", body.alias("body"))
+    by = ("trialId", "part", "__s")
+    rows = rows.orderBy(*by) if ranges is None else rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by)
+    kind = F.when(F.col("part") == 0, F.lit("response")).when(F.col("part") == 1, F.lit("evaluation")).otherwise(F.lit("vote"))
+    return rows.select("trialId", kind.alias("kind"), F.coalesce(*[written(k) for k in kinds]).alias("body"))
 
 
 def trial_object(responses: DataFrame, evals: DataFrame, votes: DataFrame, trial_id: str | None = None, seq: str = "seq",
