@@ -9,6 +9,7 @@ from trialscape.mart import q_facts, q_ops, q_read, q_study
 from trialscape.mart import tables as m
 from trialscape.operators import latest as latest_ops
 from trialscape.operators import select as select_ops
+from trialscape.plans.export import export_rows
 
 
 def plan_of(df) -> str:
@@ -101,10 +102,11 @@ def test_trial_object_carries_shown_columns_and_lists_equal_votes_by_their_text(
     }
 
 
-def test_details_are_dealt_by_range_only_once_lines_lie_by_trial(spark, tmp_path, monkeypatch):
+def test_details_are_dealt_by_range_only_and_exports_not_at_all_once_lines_lie_by_trial(spark, tmp_path, monkeypatch):
     sf = small_tables(spark, tmp_path)
     monkeypatch.setattr(m, "BUCKET", 1000)
     assert exchanges(spark, q_ops.trial_detail, sf) == (1, 1)
+    assert exchanges(spark, q_ops.export_query, sf) == (2, 0)
 
 
 def test_details_carry_their_id_once_and_any_number_of_ranges_gives_the_same_order(spark):
@@ -123,3 +125,9 @@ def test_details_carry_their_id_once_and_any_number_of_ranges_gives_the_same_ord
         assert [tuple(r) for r in rows.collect()] == expected
         assert ranges is None or rows.rdd.getNumPartitions() <= ranges
     assert [r.kind for r in select_ops.trial_detail(log, evals, votes, "a", ranges=2).collect()] == ["response", "evaluation", "vote", "vote"]
+
+
+def test_exports_carry_what_they_show_of_evaluations(spark, tmp_path):
+    sf = small_tables(spark, tmp_path)
+    reduced = [line for line in plan_of(export_rows(m.responses(spark, sf), m.evals(spark, sf), m.votes(spark, sf))).splitlines() if "max_by(struct(outcome" in line]
+    assert reduced and not any("details" in line or "dataset" in line for line in reduced)

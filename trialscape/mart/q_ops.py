@@ -98,7 +98,8 @@ SELECT t.experimentId, t.trialId, t.dataset_id, t.dataset_version, t.instanceId,
   e.validationType AS evaluationMethod, e.judgeCount, e.ev_status AS evaluationStatus, array_to_string(e.contextBlocks, ',') AS contextBlocks
 FROM x_log r JOIN x_trials t USING (trialId) LEFT JOIN x_evals e USING (trialId) LEFT JOIN (SELECT * FROM x_votes WHERE firstValid = 1) v USING (trialId)""")
 def export_query(spark, sf):
-    return export_rows(m.responses(spark, sf), m.evals(spark, sf), m.votes(spark, sf)).select(*EXPORT_COLUMNS)
+    li = m.lines_by_trial(spark, sf)
+    return export_rows(m.responses(spark, sf, li), m.evals(spark, sf, li), m.votes(spark, sf, li=li)).select(*EXPORT_COLUMNS)
 
 
 # --- status ------------------------------------------------------------------

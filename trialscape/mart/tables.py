@@ -194,9 +194,9 @@ def response_log(spark: SparkSession, sf_dir: str, experiments: bool = False, li
     )
 
 
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The response log with the dimensions of its trial."""
-    return fill_from_trials(response_log(spark, sf_dir), trials(spark, sf_dir).drop("seq"))
+def responses(spark: SparkSession, sf_dir: str, li: DataFrame | None = None) -> DataFrame:
+    """The response log with the dimensions of its trial; ``li`` are lines read before."""
+    return fill_from_trials(response_log(spark, sf_dir, li=li), trials(spark, sf_dir).drop("seq"))
 
 
 def latest_responses(spark: SparkSession, sf_dir: str, text: bool = True, li: DataFrame | None = None) -> DataFrame:

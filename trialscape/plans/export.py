@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialscape.functions.scalar import variant_bool01
-from trialscape.operators.latest import first_vote, latest
+from trialscape.operators.latest import first_vote, latest_of
 from trialscape.operators.select import Selector, by_filters, select_rows
 from trialscape.sources.sinks import write_csv
 
@@ -23,11 +23,16 @@ EXPORT_COLUMNS = [
     "evaluationMethod", "judgeCount", "evaluationStatus", "contextBlocks",
 ]
 
+EVAL_COLUMNS = [
+    "outcome", "evaluationDurationMs", "evaluationInputTokens", "evaluationOutputTokens", "evaluationMethod", "judgeCount",
+    "status", "contextBlocks",
+]
+
 
 def export_rows(responses: DataFrame, evals: DataFrame, votes: DataFrame, seq: str = "seq") -> DataFrame:
     """JON-2: planned trials without a response do not appear. Evaluations and votes are reduced to one
     row per trial first, so a trial with many responses is the only repeating side of the joins."""
-    e = latest(evals, ["trialId"], seq).select("trialId", F.struct(*[c for c in evals.columns if c not in ("trialId", seq)]).alias("e"))
+    e = latest_of(evals, ["trialId"], EVAL_COLUMNS, seq).select("trialId", F.struct(*EVAL_COLUMNS).alias("e"))
     v = first_vote(votes.select("trialId", seq, "judgeId", "provider", "model", "error", "criterias"), seq).select(
         "trialId", F.struct("judgeId", "provider", "model", "criterias").alias("v")
     )
