@@ -4,10 +4,11 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from trialscape.operators import checks
 from trialscape.plans.analysis import write_analysis
-from trialscape.sources import artifacts, catalog
+from trialscape.sources import artifacts, catalog, sinks
 from trialscape.sources.sinks import write_tables
 from trialscape.streaming import logs
 
@@ -83,3 +84,37 @@ def test_a_log_folder_as_a_stream(spark, tmp_path):
     query = logs.write_deltas(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "append")
     logs.run_to_end(query)
     assert sorted((r.trialId, r.batch) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("t0", 0), ("t1", 1), ("t2", 2)] or spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_every_value_is_a_file_in_the_folder_of_its_task_and_a_task_reads_many(spark, tmp_path, monkeypatch):
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    values = [b"\xe9", b"two\nlines", None, b"", *[b"same"] * 96]
+    df = spark.createDataFrame([(v,) for v in values], "value BINARY").select(F.col("value").cast("string").alias("value")).repartition(3)
+    expected = sorted(["\u00e9\n", "two\nlines\n", "\n", "\n", *["same\n"] * 96])
+    try:
+        for kind in ("files", "store"):
+            if kind == "store":
+                monkeypatch.setattr(sinks, "local_folder", lambda spark, path: None)
+            path = str(tmp_path / kind)
+            sinks.write_each(df, path)
+            assert sorted(p.name for p in (tmp_path / kind).iterdir() if p.is_dir()) == ["part=0", "part=1", "part=2"]
+            spark.conf.set(name, before)
+            pages = catalog.read_pages(spark, path)
+            assert pages.rdd.getNumPartitions() < 10 and sorted(r.html for r in pages.collect()) == expected
+        monkeypatch.undo()
+        sinks.write_each(df.where("false"), str(tmp_path / "none"))
+        assert catalog.read_pages(spark, str(tmp_path / "none")).count() == 0
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_a_task_that_runs_twice_leaves_one_folder(tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(sinks.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 4))
+    rows = [SimpleNamespace(value=b"a"), SimpleNamespace(value=None)]
+    for _ in range(2):
+        sinks._write_files(str(tmp_path), iter(rows))
+    assert [p.name for p in tmp_path.iterdir()] == ["part=4"]
+    assert sorted(p.read_bytes() for p in (tmp_path / "part=4").iterdir()) == [b"\n", b"a\n"]

@@ -214,7 +214,7 @@ def read_ids(spark, sf):
 def read_pages(spark, sf):
     """Every page as a file of its own, read as bytes and decoded."""
     path = scratch_path(spark, "pages")
-    m.table(spark, sf, "pages").select(F.col("html").alias("value")).write.option("maxRecordsPerFile", "1").text(path)
+    sinks.write_each(m.table(spark, sf, "pages").select(F.col("html").alias("value")), path)
     return catalog.read_pages(spark, path).groupBy("html").agg(F.count(F.lit(1)).alias("n"))
 
 

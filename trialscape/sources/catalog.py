@@ -11,6 +11,8 @@ from trialscape import fixed, schemas
 from trialscape.functions.scalar import literal_map, variant_kind
 from trialscape.sources.artifacts import path_exists
 
+OPEN_COST = 64 << 10
+
 
 def read_tasks(spark: SparkSession, root: str) -> DataFrame:
     """SRC-8: tasks in catalog order; an unknown validation type or an old ``question`` field fails."""
@@ -142,7 +144,16 @@ def decode_page(content: Column) -> Column:
     ).otherwise(F.decode(content, "ISO-8859-1"))
 
 
+def small_files(spark: SparkSession) -> None:
+    """Pages are files of a few kilobytes, which by default count as 4 MB each, so that a task would read a handful of
+    them. A session that counts still less for a file keeps it."""
+    name = "spark.sql.files.openCostInBytes"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > OPEN_COST:
+        spark.conf.set(name, str(OPEN_COST))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    small_files(spark)
     return spark.read.format("binaryFile").load(path).select("path", decode_page(F.col("content")).alias("html"))
 
 

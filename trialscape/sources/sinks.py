@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
+import os
+import shutil
+import uuid
+from functools import partial, reduce
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -236,3 +240,40 @@ def write_tables(tables: dict[str, DataFrame], folder: str, force: bool = False,
         else:
             df.write.mode(mode).format(fmt).save(target)
     return list(tables)
+
+
+def _write_files(root: str, rows) -> None:
+    """The rows of a task as files of a folder that appears when all are written; the first attempt's stays."""
+    own, n = f"{root}/.{uuid.uuid4().hex}", 0
+    for row in rows:
+        if n == 0:
+            os.makedirs(own)
+        with open(f"{own}/{n:09d}.txt", "wb") as f:
+            f.write((row.value or b"") + b"\n")
+        n += 1
+    if n:
+        try:
+            os.rename(own, f"{root}/part={TaskContext.get().partitionId()}")
+        except OSError:
+            if not os.path.isdir(f"{root}/part={TaskContext.get().partitionId()}"):
+                raise
+            shutil.rmtree(own)
+
+
+def local_folder(spark, path: str) -> str | None:
+    """The folder as the operating system names it, if it lies in a (shared) file system and not in a store."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    scheme = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme()
+    return target.toUri().getPath() if scheme == "file" else None
+
+
+def write_each(values: DataFrame, path: str) -> None:
+    """Every ``value`` as a file of its own in a new folder, ended by a line break; a null is an empty line. Each task has
+    its own folder, so files are neither renamed nor listed one by one in the driver. In a file system tasks write them
+    by themselves, as Hadoop starts a process or two a file to set its mode."""
+    folder = local_folder(values.sparkSession, path)
+    if folder is None:
+        values.select("value", F.spark_partition_id().alias("part")).write.partitionBy("part").option("maxRecordsPerFile", "1").text(path)
+        return
+    os.makedirs(folder)
+    values.select(F.col("value").cast("binary")).rdd.foreachPartition(partial(_write_files, folder))
